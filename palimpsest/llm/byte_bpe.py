@@ -27,7 +27,7 @@ ROWS = 256
 
 _safe = re.compile(r"[0-9A-Za-z.,;:!?](?=[ \n])")
 #: The characters of the pattern's \s (Unicode White_Space).
-_BLANK = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_BLANK = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _long_blank = re.compile(f"[{_BLANK}]{{{LONG_BLANK},}}")
 
 
