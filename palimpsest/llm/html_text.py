@@ -48,7 +48,9 @@ UNLIKELY = re.compile(
     r"masthead|site-header|page-header|header|footer|foot|copyright|legal|social|share|sharing|related|recommend\w*|widget|toolbar|search|form|hidden|skip|contentinfo|complementary|search|dialog)(?=$|[\s_-])",
     re.I,
 )
-LIKELY = re.compile(r"(?:^|[\s_-])(?:article|content|main|entry|story|post|text|body)(?=$|[\s_-])", re.I)
+# Whole names of the article's own containers, and parts of names that only say what else the layout has.
+LIKELY = frozenset("article content main entry story post main-content article-body article-content post-content post-body entry-content story-body".split())
+LAYOUT = re.compile(r"(?:^|[_-])(?:with|has|no|without)(?=[_-])", re.I)
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _name = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -73,13 +75,13 @@ def _is_cut(tag: str, attributes: str, up: Node) -> bool:
                 return False
             at = at.up
         return True
-    if tag in ("body", "html", "article", "main") or not attributes or tag not in BLOCK | {"span", "a"}:
+    if tag in ("body", "html", "main") or not attributes or tag not in BLOCK | {"span", "a"}:
         return False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _name.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return True
-    names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    return bool(UNLIKELY.search(names)) and not LIKELY.search(names)
+    names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split()
+    return not LIKELY.intersection(names) and any(UNLIKELY.search(n) and not LAYOUT.search(n) for n in names)
 
 
 def tree(page: str) -> Node:

@@ -3,13 +3,15 @@
 measure(docs) adds one struct column (``quality`` by default) with the measures; judge(docs) adds it with the verdict.
 
 References are pooled counts over every document of a language that passes the base rules: character classes, and
-common words against all other words. A document's distance to them is the Jensen-Shannon distance (base 2, 0 to 1).
-It is taken only above a least length (Guards), since short texts scatter: below it the divergence says nothing and
-the document stays. Languages outside Rules.languages, and null, share the one reference "other", so there are a
-fixed few references, and only they are broadcast.
-
-Cases: a null text counts as empty (no words, so base_failed). A group without any passing document has no reference,
-and its documents are judged by the base rules alone. Repeated rows are measured one by one and all count.
+common words against all other words. A document's distance is the least Jensen-Shannon distance (base 2, 0 to 1) to
+any language's reference, as texts may be mislabelled. It is taken only above a least length, and the limit for words
+falls with the length (word_limit + word_slack / sqrt(words)), since short texts scatter. Languages outside
+Rules.languages, and null, share the one reference "other": there are a fixed few references of fixed size, which are
+collected and put into the plan.
+
+Cases: a null text counts as empty (no words, so base_failed). A group without any passing document has no reference;
+with no reference at all, documents are judged by the base rules alone. Repeated rows are measured one by one and all
+count.
 """
 
 from __future__ import annotations
@@ -47,7 +49,8 @@ class Rules:
     min_chars: int = 250
     min_plain_words: int = 60
     max_char_distance: float = 0.3
-    max_word_distance: float = 0.45
+    word_limit: float = 0.12
+    word_slack: float = 2.6
 
 
 STRUCT = T.StructType(
@@ -188,27 +191,33 @@ def jensen_shannon(counts: Column, reference: Column) -> Column:
     def part(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
 
-    terms = F.zip_with(share(counts), share(reference), lambda p, q: (part(p, q) + part(q, p)) / 2)
+    terms = F.zip_with(share(counts), reference, lambda p, q: (part(p, q) + part(q, p)) / 2)
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)))
 
 
+def nearest(counts: Column, references_: list[list[int]]) -> Column:
+    shares = [[v / sum(r) for v in r] for r in references_ if sum(r)]
+    if not shares:
+        return F.lit(None).cast("double")
+    return F.array_min(F.array(*[jensen_shannon(counts, F.lit(s)) for s in shares]))
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", column: str = "quality", rules: Rules = Rules()) -> DataFrame:
     """docs with ``column``: the measures, base_failed, char_distance, word_distance and kept.
 
     The texts are read twice, once for the references and once to be judged; nothing but the references is moved.
     """
-    seen = measure(docs.select(lang, text), text, column)
-    refs = F.broadcast(references(seen, lang, column, rules))
+    refs = references(measure(docs.select(lang, text), text, column), lang, column, rules).collect()  # a row for each language
     q = F.col(column)
     chars = F.aggregate(q["char_counts"], F.lit(0).cast("long"), lambda a, b: a + b)
     plain = F.aggregate(q["word_counts"], F.lit(0).cast("long"), lambda a, b: a + b)
     failed = base_failed(q, rules)
-    char_distance = F.when(~failed & (chars >= rules.min_chars), jensen_shannon(q["char_counts"], F.col("ref_chars")))
-    word_distance = F.when(~failed & (plain >= rules.min_plain_words), jensen_shannon(q["word_counts"], F.col("ref_words")))
-    near = (F.coalesce(char_distance, F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce(word_distance, F.lit(0.0)) <= rules.max_word_distance)
+    char_distance = F.when(~failed & (chars >= rules.min_chars), nearest(q["char_counts"], [r.ref_chars for r in refs]))
+    word_distance = F.when(~failed & (plain >= rules.min_plain_words), nearest(q["word_counts"], [r.ref_words for r in refs]))
+    measured = measure(docs, text, column).select(*docs.columns, q, failed.alias("_failed"), char_distance.alias("_chars"), word_distance.alias("_words"), (rules.word_limit + rules.word_slack / F.sqrt(plain)).alias("_limit"))
+    near = (F.coalesce("_chars", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce("_words", F.lit(0.0)) <= F.col("_limit"))
     judged = F.struct(
-        *[q[f.name].alias(f.name) for f in STRUCT.fields],
-        failed.alias("base_failed"), char_distance.alias("char_distance"), word_distance.alias("word_distance"), (~failed & near).alias("kept"),
+        *[q[f.name].alias(f.name) for f in STRUCT.fields], F.col("_failed").alias("base_failed"),
+        F.col("_chars").alias("char_distance"), F.col("_words").alias("word_distance"), (~F.col("_failed") & F.coalesce(near, F.lit(True))).alias("kept"),
     )
-    joined = measure(docs, text, column).join(refs, group_of(F.col(lang), rules) == F.col("ref_group"), "left")
-    return joined.select(*docs.columns, judged.alias(column))
+    return measured.select(*docs.columns, judged.alias(column))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, near_dup, quality, substring
+from . import byte_bpe, decontaminate, html_text, licenses, line_dedup, near_dup, oracles, quality, sharding, substring, warc
+from .store import Store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,16 +21,28 @@ def tokenizer_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, store = table(spark, sf_dir, "pages"), Store(spark, "warc")
+    top = warc.build_index(warc.write_archives(pages, store), store)
+    found = warc.read_records(warc.locate(pages, store, top), store)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
 def op3_distribution_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.judge(docs).select("doc_id", *[F.col("quality")[n].alias(n) for n in names])
 
 
+def op4_lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return sharding.place(docs, sharding.shard_names(16), slots=2003).select("doc_id", "source", "slot", "shard")
+
+
 def op5_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = F.col("dedup")
@@ -56,6 +69,10 @@ def op7_line_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_matches", "licenses", "best_license", "best_dice")
+
+
 def op9_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -63,9 +80,14 @@ def op9_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
