@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import coordinates
+
 PRODUCT_FORMATS = ("EAN_13", "EAN_8", "UPC_A", "UPC_E")
 # Display names by format.
 FORMAT_NAMES = {
@@ -80,9 +82,8 @@ def country(code: Column, table=COUNTRIES) -> Column:
 def wifi(raw: Column) -> Column:
     """struct(ssid, password, encryption). The last of a repeated key counts. "nopass" is compared after upper-casing and so never matches: it is WPA."""
     body = without(raw, "WIFI:")
-    last = lambda key: F.try_element_at(F.regexp_extract_all(body, F.lit(r"([TSPH]):([^;]*)"), F.lit(0)), F.lit(-1)) if key is None else F.try_element_at(
-        F.filter(F.regexp_extract_all(body, F.lit(r"([TSPH]):([^;]*)"), F.lit(0)), lambda x: F.startswith(x, F.lit(key + ":"))), F.lit(-1)
-    )
+    pairs = F.regexp_extract_all(body, F.lit(r"([TSPH]):([^;]*)"), F.lit(0))
+    last = lambda key: F.try_element_at(F.filter(pairs, lambda x: F.startswith(x, F.lit(key + ":"))), F.lit(-1))
     value = lambda key: F.substr(last(key), F.lit(3))
     kind = F.upper(value("T"))
     encryption = F.when(kind.isin("WEP", "WPA", "WPA2"), kind).when(kind == "", "OPEN").otherwise("WPA")
@@ -102,7 +103,7 @@ def sms(raw: Column) -> Column:
 
 def geo(raw: Column) -> Column:
     parts = F.split(without(raw, "geo:"), ",", -1)
-    number = lambda i: F.coalesce(F.try_cast(F.get(parts, F.lit(i)), "double") if hasattr(F, "try_cast") else F.get(parts, F.lit(i)).try_cast("double"), F.lit(0.0))
+    number = lambda i: F.coalesce(F.get(parts, F.lit(i)).try_cast("double"), F.lit(0.0))
     return F.struct(number(0).alias("latitude"), number(1).alias("longitude"))
 
 
@@ -128,6 +129,6 @@ def first_engine(preferred: str, one: Column, two: Column) -> Column:
 
 def points_box(points: Column) -> Column:
     """Least box around the points (array of struct x, y), null for fewer than two."""
-    xs, ys = (F.transform(points, lambda p, k=k: p[k]) for k in "xy")
+    xs, ys = coordinates(points, "x"), coordinates(points, "y")
     box = F.struct(F.array_min(xs).alias("left"), F.array_min(ys).alias("top"), F.array_max(xs).alias("right"), F.array_max(ys).alias("bottom"))
     return F.when(F.size(points) >= 2, box)

@@ -55,6 +55,10 @@ def trunc(x: Column) -> Column:
     return x.cast("int")
 
 
+def coordinates(points: Column, axis: str) -> Column:
+    return F.transform(points, lambda p: p[axis])
+
+
 def quad_area(points: Column) -> Column:
     """Shoelace area of an array of four struct(x, y)."""
     at = lambda i, k: points[i % 4][k]
@@ -68,7 +72,7 @@ def quad_valid(points: Column) -> Column:
 
 def quad_bounds(points: Column, w: Column, h: Column) -> Column:
     """Bounding rectangle in whole pixels, or the whole image for an invalid quadrilateral."""
-    xs, ys = (F.transform(points, lambda p, k=k: p[k]) for k in "xy")
+    xs, ys = coordinates(points, "x"), coordinates(points, "y")
     inside = box(trunc(F.array_min(xs)), trunc(F.array_min(ys)), trunc(F.array_max(xs)), trunc(F.array_max(ys)))
     zero = F.lit(0)
     return F.when(quad_valid(points), inside).otherwise(box(zero, zero, trunc(w), trunc(h)))

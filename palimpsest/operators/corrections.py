@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.text import SUBSTITUTIONS
@@ -27,7 +28,8 @@ TO_CYRILLIC = str.maketrans(P.LOOKALIKE_LATIN, P.LOOKALIKE_CYRILLIC)
 TO_LATIN = str.maketrans(P.LOOKALIKE_CYRILLIC, P.LOOKALIKE_LATIN)
 BLANK = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
-CHANGE = "array<struct<processor:string,original:string,replacement:string,position:int,confidence:double>>"
+CHANGE = T.StructType([T.StructField(n, T.StringType()) for n in ("processor", "original", "replacement")] + [T.StructField("position", T.IntegerType()), T.StructField("confidence", T.DoubleType())])
+CORRECTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("changes", T.ArrayType(CHANGE))])
 Change = tuple[str, str, str, int, float]
 
 
@@ -166,17 +168,17 @@ def correct(text: str, document_type: str | None = None, language: str | None =
     return text, changes
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fix_digits_and_letters(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else digits_and_letters(t, []))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def restore_line_breaks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else restore_lines(t, []))
 
 
-@F.pandas_udf(f"struct<text:string,changes:{CHANGE}>")
+@F.pandas_udf(CORRECTED)
 def _corrected(texts: pd.Series, kinds: pd.Series, languages: pd.Series) -> pd.DataFrame:
     rows = [(None, []) if t is None else correct(t, k, x) for t, k, x in zip(texts, kinds, languages, strict=True)]
     names = ("processor", "original", "replacement", "position", "confidence")

@@ -9,9 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-ROW = W.partitionBy("image_id", "y").orderBy("x")
-COLUMN = W.partitionBy("image_id", "x").orderBy("y")
+
+def along_row() -> WindowSpec:
+    return W.partitionBy("image_id", "y").orderBy("x")
+
+
+def down_column() -> WindowSpec:
+    return W.partitionBy("image_id", "x").orderBy("y")
 
 
 def channel(argb: Column, shift: int) -> Column:
@@ -66,7 +72,7 @@ def invert_dark(pixels: DataFrame, limit: float = 80.0) -> DataFrame:
 
 def box_blur(grays: DataFrame, radius: int, value: str = "gray") -> DataFrame:
     """Mean over 2r + 1 pixels of the row, then of the column, in whole numbers; frames shrink at the edges."""
-    along, down = ROW.rowsBetween(-radius, radius), COLUMN.rowsBetween(-radius, radius)
+    along, down = along_row().rowsBetween(-radius, radius), down_column().rowsBetween(-radius, radius)
     mean = lambda c, w: F.floor(F.sum(c).over(w) / F.count(c).over(w)).cast("int")
     return grays.withColumn("_h", mean(value, along)).withColumn("blur", mean("_h", down)).drop("_h")
 
@@ -77,7 +83,7 @@ def remove_background(pixels: DataFrame, radius: int = 30) -> DataFrame:
 
 
 def _inner(value: Column, otherwise: Column) -> Column:
-    edge = F.lag("x").over(ROW).isNull() | F.lead("x").over(ROW).isNull() | F.lag("y").over(COLUMN).isNull() | F.lead("y").over(COLUMN).isNull()
+    edge = F.lag("x").over(along_row()).isNull() | F.lead("x").over(along_row()).isNull() | F.lag("y").over(down_column()).isNull() | F.lead("y").over(down_column()).isNull()
     return F.when(edge, otherwise).otherwise(value)
 
 
@@ -85,7 +91,7 @@ def sharpen(pixels: DataFrame, center: float = 5.0) -> DataFrame:
     """center * pixel minus its four neighbours; edges are copied."""
 
     def one(c: Column) -> Column:
-        return clamp(center * c - F.lag(c).over(ROW) - F.lead(c).over(ROW) - F.lag(c).over(COLUMN) - F.lead(c).over(COLUMN))
+        return clamp(center * c - F.lag(c).over(along_row()) - F.lead(c).over(along_row()) - F.lag(c).over(down_column()) - F.lead(c).over(down_column()))
 
     argb = F.col("argb")
     return pixels.select("image_id", "x", "y", _inner(pack(*[one(c) for c in rgb(argb)]), argb).alias("argb"))
@@ -93,8 +99,8 @@ def sharpen(pixels: DataFrame, center: float = 5.0) -> DataFrame:
 
 def median(pixels: DataFrame) -> DataFrame:
     """3 x 3 median of each channel; edges are copied."""
-    around = pixels.withColumn("_row", F.array(F.lag("argb").over(ROW), F.col("argb"), F.lead("argb").over(ROW)))
-    nine = F.concat(F.lag("_row").over(COLUMN), F.col("_row"), F.lead("_row").over(COLUMN))
+    around = pixels.withColumn("_row", F.array(F.lag("argb").over(along_row()), F.col("argb"), F.lead("argb").over(along_row())))
+    nine = F.concat(F.lag("_row").over(down_column()), F.col("_row"), F.lead("_row").over(down_column()))
     around = around.withColumn("_nine", nine)
     middle = lambda s: F.get(F.array_sort(F.transform("_nine", lambda p: channel(p, s))), F.lit(4))
     return around.select("image_id", "x", "y", _inner(pack(middle(16), middle(8), middle(0)), F.col("argb")).alias("argb"))
@@ -103,7 +109,7 @@ def median(pixels: DataFrame) -> DataFrame:
 def adaptive_threshold(pixels: DataFrame, window: int = 25, k: float = 0.08) -> DataFrame:
     """Black and white by mean and deviation around each pixel: sums of the row's frame, then of the column's."""
     r = window // 2
-    along, down = ROW.rowsBetween(-r, r), COLUMN.rowsBetween(-r, r)
+    along, down = along_row().rowsBetween(-r, r), down_column().rowsBetween(-r, r)
     g = F.col("gray")
     rows = gray(pixels).select("*", F.sum(g).over(along).alias("_s"), F.sum(g * g).over(along).alias("_q"), F.count(g).over(along).alias("_n"))
     sums = rows.select("*", *[F.sum(c).over(down).alias(c + c) for c in ("_s", "_q", "_n")])
@@ -116,8 +122,8 @@ def integral(grays: DataFrame) -> DataFrame:
     """Sums of gray and gray squared over everything to the upper left."""
     up_to = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
     g = F.col("gray").cast("long")
-    rows = grays.select("*", F.sum(g).over(up_to(ROW)).alias("_s"), F.sum(g * g).over(up_to(ROW)).alias("_q"))
-    return rows.select("image_id", "x", "y", F.sum("_s").over(up_to(COLUMN)).alias("integral"), F.sum("_q").over(up_to(COLUMN)).alias("integral_sq"))
+    rows = grays.select("*", F.sum(g).over(up_to(along_row())).alias("_s"), F.sum(g * g).over(up_to(along_row())).alias("_q"))
+    return rows.select("image_id", "x", "y", F.sum("_s").over(up_to(down_column())).alias("integral"), F.sum("_q").over(up_to(down_column())).alias("integral_sq"))
 
 
 def yuv_to_rgb(luma_rows: DataFrame, chroma_rows: DataFrame) -> DataFrame:

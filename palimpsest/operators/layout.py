@@ -127,5 +127,3 @@ def first_hit(boxes: DataFrame, points: DataFrame, doc: str = "doc_id") -> DataF
     inside = points.join(boxes, doc).where(G.contains(F.col("box"), F.col("x"), F.col("y")))
     return inside.groupBy(doc, "point_id").agg(F.min(F.struct("ordinal", "text")).alias("hit")).select(doc, "point_id", "hit.*")
 
-
-__all__ = [n for n in globals() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "W", "F", "G", "P")]

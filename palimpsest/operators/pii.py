@@ -56,8 +56,7 @@ def has_pii(text: Column) -> Column:
 
 
 def mask(text: Column, categories=tuple(DETECTORS), block: str = "█") -> Column:
-    """Each match of a detector becomes a run of blocks of its length; detectors in order, cards only if they check."""
-    for c in categories:
-        matches = F.array_distinct(found(text, c))
-        text = F.aggregate(matches, text, lambda t, m: F.replace(t, m, F.repeat(F.lit(block), F.char_length(m))))
-    return text
+    """Every match of any detector becomes a run of blocks of its length, longer matches first."""
+    longest_first = lambda a, b: F.char_length(b) - F.char_length(a)
+    matches = F.array_sort(F.array_distinct(F.concat(*[found(text, c) for c in categories])), longest_first)
+    return F.aggregate(matches, text, lambda t, m: F.replace(t, m, F.repeat(F.lit(block), F.char_length(m))))

@@ -49,7 +49,6 @@ _category("pii_passport", "passport_rf", "documents", "doc_id")
 _category("pii_email", "email", "documents", "doc_id")
 _category("pii_phone", "phone_rf", "conversations", "conv_id")
 _category("pii_date", "date", "documents", "doc_id")
-_id = "lpad(cast(c_custkey as string), {}, '7')"
 _category("pii_inn", "inn", "customer", "c_custkey", lambda: F.expr("concat('INN ', lpad(cast(c_custkey as string), 10, '7'), '; 12 ', lpad(cast(c_custkey as string), 12, '5'), ' no ', lpad(cast(c_custkey as string), 9, '1'))"),
           "'INN ' || lpad(c_custkey::VARCHAR, 10, '7') || '; 12 ' || lpad(c_custkey::VARCHAR, 12, '5') || ' no ' || lpad(c_custkey::VARCHAR, 9, '1')")
 _category("pii_snils", "snils", "customer", "c_custkey", lambda: F.expr("concat('S ', lpad(cast(c_custkey as string), 3, '4'), '-', '123 456', '-', lpad(cast(c_custkey % 97 as string), 2, '0'), '.')"),
@@ -102,37 +101,36 @@ def pii_by_language(spark, sf):
 # --- clean-up. Results are returned as hashes next to lengths, as whole texts would only be hashed again.
 SPACES_SQL = r"regexp_replace(regexp_replace(regexp_replace({t}, ' {{2,}}', ' ', 'g'), ' +([.,;:!?)])', '\1', 'g'), '(\() +', '\1', 'g')"
 BREAKS_SQL = r"array_to_string(list_transform(string_split(regexp_replace(replace(replace({t}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), chr(10))"
-DIGITS_SQL = r"regexp_replace(regexp_replace({t}, '([0-9])l([0-9])', '\g<1>1\2', 'g'), '([0-9])O([0-9])', '\g<1>0\2', 'g')"
 DIGITS_SQL = r"regexp_replace(regexp_replace({t}, '([0-9])l([0-9])', '\1' || '1' || '\2', 'g'), '([0-9])O([0-9])', '\1' || '0' || '\2', 'g')"
 
 
 def _rewrite(name: str, make, change, made_sql: str, change_sql: str, source: str = "documents", key: str = "doc_id") -> None:
     def run(spark, sf):
-        rows = table(spark, sf, source).select(key, make.alias("text")).select(key, change(F.col("text")).alias("text"))
+        rows = table(spark, sf, source).select(key, make().alias("text")).select(key, change(F.col("text")).alias("text"))
         return rows.select(key, F.char_length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
     sql = f"SELECT {key}, length(t)::INT AS n_chars, sha256(t) AS sha256 FROM (SELECT {key}, {change_sql.format(t='s')} AS t FROM (SELECT {key}, {made_sql} AS s FROM {source}))" if change_sql else None
     query(sql, name)(run)
 
 
-_spaced = F.replace(F.replace(F.col("text"), F.lit("."), F.lit("  .")), F.lit("("), F.lit("(  "))
+_spaced = lambda: F.replace(F.replace(F.col("text"), F.lit("."), F.lit("  .")), F.lit("("), F.lit("(  "))
 _rewrite("clean_spaces", _spaced, X.fix_spaces, "replace(replace(text, '.', '  .'), '(', '(  ')", SPACES_SQL)
-_rewrite("clean_linebreaks", F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n \t")), F.lit(","), F.lit("\n\n\n\r")), X.fix_line_breaks, "replace(replace(text, '. ', '.' || chr(13) || chr(10) || ' ' || chr(9)), ',', chr(10) || chr(10) || chr(10) || chr(13))", BREAKS_SQL)
-_rewrite("clean_digits", F.translate(F.col("text"), "aeio", "10lO"), X.fix_digits, "translate(text, 'aeio', '10lO')", DIGITS_SQL)
-_rewrite("clean_urls", F.concat(F.lit("see "), F.replace(F.replace(F.col("url"), F.lit("/"), F.lit(" / ")), F.lit(" /  / "), F.lit(" // ")), F.lit(", then")), X.fix_urls,
+_rewrite("clean_linebreaks", lambda: F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n \t")), F.lit(","), F.lit("\n\n\n\r")), X.fix_line_breaks, "replace(replace(text, '. ', '.' || chr(13) || chr(10) || ' ' || chr(9)), ',', chr(10) || chr(10) || chr(10) || chr(13))", BREAKS_SQL)
+_rewrite("clean_digits", lambda: F.translate(F.col("text"), "aeio", "10lO"), X.fix_digits, "translate(text, 'aeio', '10lO')", DIGITS_SQL)
+_rewrite("clean_urls", lambda: F.concat(F.lit("see "), F.replace(F.replace(F.col("url"), F.lit("/"), F.lit(" / ")), F.lit(" /  / "), F.lit(" // ")), F.lit(", then")), X.fix_urls,
          "'see ' || replace(replace(url, '/', ' / '), ' /  / ', ' // ') || ', then'",
          r"array_to_string(list_transform(list_zip(regexp_split_to_array({t}, '(?i)https?\s*:\s*//\s*[a-zA-Z0-9\s._\-/]+'), regexp_extract_all({t}, '(?i)https?\s*:\s*//\s*[a-zA-Z0-9\s._\-/]+')), lambda z: z[1] || coalesce(regexp_replace(z[2], '\s+', '', 'g'), '')), '')", "pages", "page_id")
-_rewrite("clean_text", F.col("text"), X.clean, "text", "")
+_rewrite("clean_text", lambda: F.col("text"), X.clean, "text", "")
 
 MAP_WORD = rf"CASE WHEN len(regexp_extract_all(w, '[\x{{{{0400}}}}-\x{{{{052F}}}}]')) = 0 OR len(regexp_extract_all(w, '[A-Za-z]')) = 0 THEN w WHEN len(regexp_extract_all(w, '[\x{{{{0400}}}}-\x{{{{052F}}}}]')) >= len(regexp_extract_all(w, '[A-Za-z]')) THEN translate(w, '{LOOKALIKE_LATIN}', '{LOOKALIKE_CYRILLIC}') ELSE translate(w, '{LOOKALIKE_CYRILLIC}', '{LOOKALIKE_LATIN}') END"
-_rewrite("post_mixed_alphabet", F.translate(F.col("text"), "ontr", "онтр"), X.fix_mixed_alphabets, "translate(text, 'ontr', 'онтр')",
+_rewrite("post_mixed_alphabet", lambda: F.translate(F.col("text"), "ontr", "онтр"), X.fix_mixed_alphabets, "translate(text, 'ontr', 'онтр')",
          r"array_to_string(list_transform(regexp_extract_all({t}, '[\p{{L}}0-9]+|[^\p{{L}}0-9]+'), lambda w: " + MAP_WORD + "), '')")
-_rewrite("post_substitutions", F.replace(F.replace(F.col("text"), F.lit(" the"), F.lit("   the")), F.lit(","), F.lit(" ,,")), X.substitute, "replace(replace(text, ' the', '   the'), ',', ' ,,')", "replace(replace(replace(replace({t}, '  ', ' '), ' ,', ','), ' .', '.'), ',,', ',')")
-_rewrite("post_spaces", F.replace(F.replace(F.col("text"), F.lit(" of"), F.lit("   of")), F.lit("\n"), F.lit("  \r\n   ")), X.normalize_space, "replace(replace(text, ' of', chr(160) || ' ' || chr(8195) || 'of'), chr(10), '  ' || chr(13) || chr(10) || '   ')",
+_rewrite("post_substitutions", lambda: F.replace(F.replace(F.col("text"), F.lit(" the"), F.lit("   the")), F.lit(","), F.lit(" ,,")), X.substitute, "replace(replace(text, ' the', '   the'), ',', ' ,,')", "replace(replace(replace(replace({t}, '  ', ' '), ' ,', ','), ' .', '.'), ',,', ',')")
+_rewrite("post_spaces", lambda: F.replace(F.replace(F.col("text"), F.lit(" of"), F.lit("   of")), F.lit("\n"), F.lit("  \r\n   ")), X.normalize_space, "replace(replace(text, ' of', chr(160) || ' ' || chr(8195) || 'of'), chr(10), '  ' || chr(13) || chr(10) || '   ')",
          r"array_to_string(list_transform(regexp_split_to_array(regexp_replace(regexp_replace({t}, '[\x{{00A0}}\x{{2000}}-\x{{200B}}\x{{202F}}\x{{205F}}\x{{3000}}]', ' ', 'g'), '(\S) {{2,}}', '\1 ', 'g'), '\r\n|\n|\r'), lambda x: regexp_replace(x, '[\s\p{{Z}}]+$', '')), chr(10))")
 _quotes = r"array_to_string(list_transform(string_split({t}, chr(34)), lambda p, i: CASE WHEN i = 1 THEN '' WHEN i % 2 = 0 THEN '«' ELSE '»' END || p), '')"
-_rewrite("post_quotes", F.replace(F.col("text"), F.lit(" th"), F.lit(' "th')), X.pair_quotes, "replace(text, ' th', ' ' || chr(34) || 'th')", _quotes)
-_rewrite("post_punctuation", F.replace(F.replace(F.col("text"), F.lit(", "), F.lit(" ,")), F.lit(" of "), F.lit(" - ")), X.fix_punctuation, "replace(replace(text, ', ', ' ,'), ' of ', ' - ')",
+_rewrite("post_quotes", lambda: F.replace(F.col("text"), F.lit(" th"), F.lit(' "th')), X.pair_quotes, "replace(text, ' th', ' ' || chr(34) || 'th')", _quotes)
+_rewrite("post_punctuation", lambda: F.replace(F.replace(F.col("text"), F.lit(", "), F.lit(" ,")), F.lit(" of "), F.lit(" - ")), X.fix_punctuation, "replace(replace(text, ', ', ' ,'), ' of ', ' - ')",
          r"regexp_replace(regexp_replace(regexp_replace({t}, ' +([,\.;:!?])', '\1', 'g'), '([,;:!?])([\p{{L}}0-9])', '\1 \2', 'g'), '(\p{{L}}) - (\p{{L}})', '\1 — \2', 'g')")
 
 
@@ -151,7 +149,7 @@ def post_linebreak(spark, sf):
 @query()
 def post_changes_by_processor(spark, sf):
     docs = mixed_documents(spark, sf).withColumn("fixed", C.corrected(F.col("text"), F.when(F.col("doc_id") % 5 == 0, "TABLE"), F.lit("ru")))
-    return docs.select(F.explode("fixed.changes").alias("c")).groupBy(F.col("c.processor").alias("processor")).agg(F.count("*").alias("n_changes"), F.round(F.avg("c.confidence"), 6).alias("confidence"))
+    return docs.select(F.explode("fixed.changes").alias("c")).groupBy(F.col("c.processor").alias("processor")).agg(F.count("*").alias("n_changes"), F.round(F.avg("c.confidence"), 9).alias("confidence"))
 
 
 @query()
@@ -204,11 +202,11 @@ def word_filters(spark, sf):
 
 
 @query(r"""
-SELECT doc_id, round(avg(c), 6) AS confidence, round(avg(c * 0.7), 6) AS handwritten FROM (
+SELECT doc_id, round(avg(c), 9) AS confidence, round(avg(c * 0.7), 9) AS handwritten FROM (
   SELECT doc_id, CASE WHEN regexp_replace(w, '^[\s\p{Z}]+', '') = '' THEN 0 ELSE least(1, greatest(0, 0.85::DOUBLE * len(regexp_extract_all(w, '[\p{L}\p{Nd}]')) / length(w) + CASE WHEN length(w) >= 5 THEN 0.1::DOUBLE WHEN length(w) >= 3 THEN 0.05::DOUBLE ELSE 0::DOUBLE END)) END AS c FROM (""" + TOKENS + ")) GROUP BY doc_id")
 def conf_estimate(spark, sf):
     w = _tokens(spark, sf)
-    return w.groupBy("doc_id").agg(F.round(F.avg(X.confidence(F.col("text"))), 6).alias("confidence"), F.round(F.avg(X.confidence(F.col("text"), handwritten=True)), 6).alias("handwritten"))
+    return w.groupBy("doc_id").agg(F.round(F.avg(X.confidence(F.col("text"))), 9).alias("confidence"), F.round(F.avg(X.confidence(F.col("text"), handwritten=True)), 9).alias("handwritten"))
 
 
 @query(rf"""
@@ -271,7 +269,7 @@ def _only(spark, sf, kind):
     return c.where(B.content_type(F.col("raw"), F.col("format")) == kind)
 
 
-@query(rf"WITH m AS (SELECT id, regexp_extract_all(substr(raw, 6), '([TSPH]):([^;]*)') AS a FROM {CODES_SQL} WHERE starts_with(raw, 'WIFI:')), v AS (SELECT id, list_filter(a, lambda x: x[1] = 'S')[-1][3:] AS s, list_filter(a, lambda x: x[1] = 'P')[-1][3:] AS p, upper(list_filter(a, lambda x: x[1] = 'T')[-1][3:]) AS t FROM m) SELECT id, coalesce(s, '') AS ssid, p AS password, CASE WHEN t IN ('WEP', 'WPA', 'WPA2') THEN t WHEN t = '' THEN 'OPEN' ELSE 'WPA' END AS encryption FROM v")
+@query(rf"WITH m AS (SELECT id, regexp_extract_all(substr(raw, 9), '([TSPH]):([^;]*)') AS a FROM {CODES_SQL} WHERE starts_with(raw, 'WIFI:')), v AS (SELECT id, list_filter(a, lambda x: x[1] = 'S')[-1][3:] AS s, list_filter(a, lambda x: x[1] = 'P')[-1][3:] AS p, upper(list_filter(a, lambda x: x[1] = 'T')[-1][3:]) AS t FROM m) SELECT id, coalesce(s, '') AS ssid, p AS password, CASE WHEN t IN ('WEP', 'WPA', 'WPA2') THEN t WHEN t = '' THEN 'OPEN' ELSE 'WPA' END AS encryption FROM v")
 def barcode_wifi(spark, sf):
     return _only(spark, sf, "WIFI").select("id", B.wifi(F.col("raw")).alias("w")).select("id", "w.*")
 
@@ -307,15 +305,15 @@ def barcode_allowed_formats(spark, sf):
 # --- accuracy
 @query(r"""
 WITH b AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS e FROM benchmark), c AS (SELECT item_id, trim(lower(e)) AS e, trim(lower(replace(translate(e, 'aeo', 'ecu'), 'th', 't'))) AS a FROM b)
-SELECT item_id, round(CASE WHEN e = '' THEN CASE WHEN a = '' THEN 1 ELSE 0 END ELSE greatest(0, 1 - levenshtein(e, a)::DOUBLE / greatest(length(e), length(a))) END, 6) AS accuracy FROM c
+SELECT item_id, round(CASE WHEN e = '' THEN CASE WHEN a = '' THEN 1 ELSE 0 END ELSE greatest(0, 1 - levenshtein(e, a)::DOUBLE / greatest(length(e), length(a))) END, 9) AS accuracy FROM c
 """)
 def char_accuracy(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("e"))
     actual = F.replace(F.translate("e", "aeo", "ecu"), F.lit("th"), F.lit("t"))
-    return b.select("item_id", F.round(X.char_accuracy(F.col("e"), actual), 6).alias("accuracy"))
+    return b.select("item_id", F.round(X.char_accuracy(F.col("e"), actual), 9).alias("accuracy"))
 
 
 @query()
 def word_accuracy(spark, sf):
     b = table(spark, sf, "benchmark")
-    return b.select("item_id", F.round(X.word_accuracy(F.col("text"), F.replace("text", F.lit("th"), F.lit("t"))), 6).alias("accuracy"))
+    return b.select("item_id", F.round(X.word_accuracy(F.col("text"), F.replace("text", F.lit("th"), F.lit("t"))), 9).alias("accuracy"))
