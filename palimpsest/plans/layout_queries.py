@@ -171,6 +171,15 @@ def point_in_box(spark, sf):
     return L.first_hit(boxes(spark, sf), points)
 
 
+@query()
+def redact_pdf(spark, sf):
+    from ..sources import pdf_text
+
+    b = boxes(spark, sf)
+    size = b.select("doc_id").distinct().select("doc_id", F.lit(1000.0).alias("width"), (700 + F.col("doc_id") % 900).cast("double").alias("height"))
+    return pdf_text.redacted_pdfs(b, masks(spark, sf), size).select("doc_id", F.length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 # --- geometry over sizes made of order numbers
 SIZES_SQL = "(SELECT o_orderkey AS id, (o_orderkey * 37 % 5000 + 5)::INT AS w, (o_custkey * 53 % 4000 + 5)::INT AS h FROM orders)"
 
