@@ -30,7 +30,7 @@ s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 k AS (SELECT s.doc_id, n.n, s.g FROM s JOIN n USING (doc_id)),
 e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
-  GROUP BY ALL, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.reached = u.a),
 c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
