@@ -358,7 +358,11 @@ _frame = "ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING"
 _image("img_adaptive", f"""WITH h AS (SELECT *, sum(gray) OVER w AS s, sum(gray * gray) OVER w AS q, count(*) OVER w AS n FROM {GRAY_SQL} WINDOW w AS (PARTITION BY image_id, y ORDER BY x {_frame})),
 v AS (SELECT image_id, x, y, gray, sum(s) OVER w AS s, sum(q) OVER w AS q, sum(n) OVER w AS n FROM h WINDOW w AS (PARTITION BY image_id, x ORDER BY y {_frame}))
 SELECT image_id, x, y, CASE WHEN gray > s::DOUBLE / n::DOUBLE * (1 + 0.08::DOUBLE * (sqrt(greatest(0, q::DOUBLE / n::DOUBLE - (s::DOUBLE / n::DOUBLE) * (s::DOUBLE / n::DOUBLE))) / 128 - 1)) THEN 255 ELSE 0 END AS v FROM v""", I.adaptive_threshold)
-_image("img_otsu", None, I.binarize_otsu)
+_image("img_otsu", f"""WITH h AS (SELECT image_id, gray, count(*) AS n FROM {GRAY_SQL} GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER o AS n0, sum(n * gray) OVER o AS s0, sum(n) OVER e AS n1, sum(n * gray) OVER e AS s1 FROM h WINDOW o AS (PARTITION BY image_id ORDER BY gray), e AS (PARTITION BY image_id)),
+v AS (SELECT image_id, gray, round(coalesce(n0::DOUBLE * (n1 - n0)::DOUBLE * pow(s0::DOUBLE / n0 - (s1 - s0)::DOUBLE / nullif(n1 - n0, 0), 2), 0), 6) AS v FROM s),
+t AS (SELECT image_id, gray AS t FROM v QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, gray) = 1)
+SELECT g.image_id, x, y, CASE WHEN g.gray > t THEN 255 ELSE 0 END AS v FROM {GRAY_SQL} g JOIN t ON g.image_id = t.image_id""", I.binarize_otsu)
 _image("img_document", None, lambda p: I.document_pipeline(p, background=True, binarize=128))
 _image("img_rotate", f"SELECT image_id, (CASE image_id % 4 WHEN 1 THEN 29 - y WHEN 2 THEN 39 - x WHEN 3 THEN y ELSE x END)::INT AS x, (CASE image_id % 4 WHEN 1 THEN x WHEN 2 THEN 29 - y WHEN 3 THEN 39 - x ELSE y END)::INT AS y, argb FROM {PIXELS_SQL}", lambda p: I.rotate(p, F.col("image_id") % 4 * 90))
 

@@ -120,7 +120,9 @@ _rewrite("clean_digits", lambda: F.translate(F.col("text"), "aeio", "10lO"), X.f
 _rewrite("clean_urls", lambda: F.concat(F.lit("see "), F.replace(F.replace(F.col("url"), F.lit("/"), F.lit(" / ")), F.lit(" /  / "), F.lit(" // ")), F.lit(", then")), X.fix_urls,
          "'see ' || replace(replace(url, '/', ' / '), ' /  / ', ' // ') || ', then'",
          r"array_to_string(list_transform(list_zip(regexp_split_to_array({t}, '(?i)https?\s*:\s*//\s*[a-zA-Z0-9\s._\-/]+'), regexp_extract_all({t}, '(?i)https?\s*:\s*//\s*[a-zA-Z0-9\s._\-/]+')), lambda z: z[1] || coalesce(regexp_replace(z[2], '\s+', '', 'g'), '')), '')", "pages", "page_id")
-_rewrite("clean_text", lambda: F.col("text"), X.clean, "text", "")
+URLS_SQL = r"array_to_string(list_transform(list_zip(regexp_split_to_array({t}, '(?i)https?\s*:\s*//\s*[a-zA-Z0-9\s._\-/]+'), regexp_extract_all({t}, '(?i)https?\s*:\s*//\s*[a-zA-Z0-9\s._\-/]+')), lambda z: z[1] || coalesce(regexp_replace(z[2], '\s+', '', 'g'), '')), '')"
+_rewrite("clean_text", lambda: F.concat(F.lit("at https : // a.b "), F.col("text"), F.lit(" 1l2 ")), X.clean, "'at https : // a.b ' || text || ' 1l2 '",
+         r"regexp_replace(" + DIGITS_SQL.format(t=BREAKS_SQL.replace("{t}", SPACES_SQL.replace("{t}", URLS_SQL.replace("{t}", "s")))).replace("{", "{{").replace("}", "}}").replace("{{{{", "{{").replace("}}}}", "}}") + r", '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')")
 
 MAP_WORD = rf"CASE WHEN len(regexp_extract_all(w, '[\x{{{{0400}}}}-\x{{{{052F}}}}]')) = 0 OR len(regexp_extract_all(w, '[A-Za-z]')) = 0 THEN w WHEN len(regexp_extract_all(w, '[\x{{{{0400}}}}-\x{{{{052F}}}}]')) >= len(regexp_extract_all(w, '[A-Za-z]')) THEN translate(w, '{LOOKALIKE_LATIN}', '{LOOKALIKE_CYRILLIC}') ELSE translate(w, '{LOOKALIKE_CYRILLIC}', '{LOOKALIKE_LATIN}') END"
 _rewrite("post_mixed_alphabet", lambda: F.translate(F.col("text"), "ontr", "онтр"), X.fix_mixed_alphabets, "translate(text, 'ontr', 'онтр')",
