@@ -149,3 +149,8 @@ def page_mode(w: Column, h: Column) -> Column:
 
 def confidence_band(c: Column) -> Column:
     return F.when(c > 0.8, "GREEN").when(c > 0.5, "YELLOW").otherwise("RED")
+
+
+def crop_to_original(left: Column, top: Column, w: Column, h: Column, sx: Column, sy: Column) -> Column:
+    """A crop on the preview, in the original's pixels; sx and sy are original size by preview size."""
+    return F.struct((left * sx).alias("left"), (top * sy).alias("top"), (w * sx).alias("width"), (h * sy).alias("height"))
