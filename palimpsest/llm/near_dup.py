@@ -8,8 +8,10 @@ share of equal registers that chance alone gives, and what may reach the thresho
 
 Classes first: documents with equal sets are one class, represented by its smallest id. Bucket members are compared
 with a leader (linear in the bucket's size), linked parts become one component, and only buckets that still hold
-several components are looked at again: with their other leaders, with their best-connected member, and in the end
-pair by pair across components, in tiles. So no pair that could join two components is left untested, and a large
+several components are looked at again: with their other leaders, then in tiles of bounded size, where a task compares
+sketches of one byte for each register across components. First each member outside the tile's largest component
+proposes its two nearest, which settles most; what then still stands apart proposes all that may reach the threshold,
+each pair in the first band that it shares. So no pair that could join two components is left untested, and a large
 group of copies never meets pair by pair.
 
 Cases: null or empty texts have the empty set and are linked with nothing. A null id can't be linked: its row is
@@ -21,6 +23,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,12 +34,14 @@ from . import vec
 from .components import components
 from .store import Store
 
-BUCKETS, MANTISSA, EMPTY = 256, 10, 0xFFFF
-ROWS, BANDS = 5, 51
+BUCKETS, MANTISSA, EMPTY = 512, 10, 0xFFFF
+#: A pair at 80 % shares a band with probability 1 - (1 - 0.8**8)**64, all but 8 in a million; one at 40 % with 4 in 100.
+ROWS, BANDS = 8, 64
 TRIES = 64
-#: An estimate this far below the threshold still goes to verification: about eight standard errors of 256 registers.
-MARGIN = 0.25
-TILE = 64
+#: An estimate this far below the threshold still goes to verification: over four standard errors of 512 registers, and
+#: more of a small set's, whose registers hold nearly all of it.
+MARGIN = 0.08
+TILE = 1024
 
 
 def shingle_hashes(words: vec.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +56,9 @@ def shingle_hashes(words: vec.Words, size: int) -> tuple[np.ndarray, np.ndarray]
 
 def registers(sorted_hashes: np.ndarray) -> np.ndarray:
     out = np.full(BUCKETS, EMPTY, np.uint16)
-    bucket = (sorted_hashes >> np.uint64(56)).astype(np.int64)
+    bucket = (sorted_hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    value = ((sorted_hashes[first] >> np.uint64(4)) & np.uint64((1 << 52) - 1)).astype(np.float64)
+    value = ((sorted_hashes[first] >> np.uint64(3)) & np.uint64((1 << 52) - 1)).astype(np.float64)
     fraction, length = np.frexp(value)
     mantissa = np.where(value > 0, (2 * fraction - 1) * (1 << MANTISSA), 0).astype(np.int64)
     out[bucket[first]] = ((52 - length) << MANTISSA) + mantissa
@@ -67,22 +72,23 @@ def lenders() -> np.ndarray:
     return (x % np.uint64(BUCKETS)).astype(np.int64).reshape(TRIES, BUCKETS)
 
 
-def filled(regs: np.ndarray) -> np.ndarray:
+def filled(regs: np.ndarray, empty: int = EMPTY) -> np.ndarray:
     """Registers (rows of BUCKETS) with the empty ones borrowed; rows must have a value."""
     out = regs.copy()
     for ask in lenders():
-        gaps = out == EMPTY
+        gaps = out == empty
         if not gaps.any():
             return out
         out = np.where(gaps, regs[:, ask], out)
     twice = np.concatenate([out, out], 1)
-    at = np.where(twice != EMPTY, np.arange(2 * BUCKETS), 2 * BUCKETS)
+    at = np.where(twice != empty, np.arange(2 * BUCKETS), 2 * BUCKETS)
     following = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :BUCKETS]
     return np.take_along_axis(twice, np.minimum(following, 2 * BUCKETS - 1), 1)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    r = filled(regs)[:, : ROWS * BANDS].astype(np.uint64).reshape(-1, BANDS, ROWS)
+def band_keys(full: np.ndarray) -> np.ndarray:
+    """Keys of the bands of filled registers."""
+    r = full[:, : ROWS * BANDS].astype(np.uint64).reshape(-1, BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(vec.BASE)
     for k in range(ROWS):
         key = vec.mix(key + r[:, :, k])
@@ -101,6 +107,18 @@ def chance(a: int, b: int) -> float:
     return float((pa_ * pb).sum() / (1 - np.exp(-na - nb)))
 
 
+def short_sketch(regs: np.ndarray) -> np.ndarray:
+    """One byte for each register: 0 if empty, else 1 to 255 from its mantissa."""
+    return np.where(regs == EMPTY, 0, regs % 255 + 1).astype(np.uint8)
+
+
+def short_estimate(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of one short sketch to each of others, corrected for equal bytes by chance."""
+    both = np.count_nonzero((others == x) & (x != 0), 1)
+    share = both / np.maximum(1, np.count_nonzero((others != 0) | (x != 0), 1))
+    return (share - 1 / 255) / (1 - 1 / 255)
+
+
 def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
     """Jaccard similarity of rows of registers, corrected for collisions."""
     empty = (x == EMPTY) & (y == EMPTY)
@@ -136,7 +154,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 some = np.diff(cuts) > 0
                 keys = np.zeros((n, BANDS), np.int64)
                 if some.any():
-                    keys[some] = band_keys(regs[some]).view(np.int64)
+                    keys[some] = band_keys(filled(regs[some])).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, n).cast(pa.int64()),
@@ -197,13 +215,61 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(run, PAIR)
 
 
-def _tiles(buckets: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket (key, id, component) that are in different components, TILE x TILE at a time."""
+def _tile_pairs(rows: list[tuple], band: int, least: float, nearest: int | None) -> tuple[list, list]:
+    """Pairs (a, b) of one tile's rows (id, component, short, block) across components."""
+    ids, parts, short, block = zip(*rows, strict=True)
+    ids, block = np.array(ids), np.array(block)
+    _, parts, sizes = np.unique(np.array(parts), return_inverse=True, return_counts=True)
+    if len(sizes) < 2:
+        return [], []
+    short = np.frombuffer(b"".join(short), np.uint8).reshape(len(ids), BUCKETS)
+    bands = None if nearest else filled(short, 0)[:, : ROWS * BANDS].reshape(len(ids), BANDS, ROWS)
+    main, two_blocks = sizes.argmax(), block.min() != block.max()
+    out_a, out_b = [], []
+    for k in np.flatnonzero(parts != main):
+        far = parts != parts[k]
+        if two_blocks:  # pairs inside a block are its own tile's
+            far &= block != block[k]
+        if not nearest:  # of two members outside the main component the first meets the other
+            far &= (parts == main) | (np.arange(len(ids)) > k)
+        far = np.flatnonzero(far)
+        near = short_estimate(short[k], short[far])
+        far, near = far[near >= least], near[near >= least]
+        if nearest:
+            far = far[np.argsort(-near, kind="stable")[:nearest]]
+        elif len(far):
+            far = far[(bands[far] == bands[k]).all(2).argmax(1) == band]
+        out_a.append(np.minimum(ids[far], ids[k]))
+        out_b.append(np.maximum(ids[far], ids[k]))
+    return out_a, out_b
+
+
+def _tiles(buckets: DataFrame, least: float, nearest: int | None) -> DataFrame:
+    """Promising pairs of members of a bucket (key, band, id, component, short) in different components, TILE x TILE at a time."""
     sized = buckets.join(buckets.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n")), "key")
-    block = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-    left = sized.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    right = sized.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), block.alias("j"))
-    return left.join(right, ["key", "i", "j"]).where("a < b and ca <> cb").select("a", "b").distinct()
+    # Block b stands in the tiles (b, 0) .. (b, b) .. (n - 1, b), so that each two blocks meet in one tile.
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    placed = sized.select("key", "band", "id", "component", "short", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"), other.alias("other"))
+    placed = placed.select("key", "band", "id", "component", "short", "block", F.greatest("block", "other").alias("i"), F.least("block", "other").alias("j"))
+    placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        tile, rows = None, []
+
+        def out():
+            a, b = _tile_pairs(rows, tile[3], least, nearest) if len(rows) > 1 else ([], [])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        for batch in batches:
+            for *head, a, b, c, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if head != tile:
+                    yield from out()
+                    tile, rows = head, []
+                rows.append((a, b, c, d))
+        yield from out()
+
+    return placed.select("key", "i", "j", "band", "id", "component", "short", "block").mapInArrow(run, PAIR).distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -215,12 +281,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     classes = store.write(known.groupBy("set_hash").agg(F.min("id").alias("rep")), "classes")
 
     banded = known.select("id", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    banded = banded.select("id", F.explode("bands").alias("key"))
+    banded = banded.select("id", F.posexplode("bands").alias("band", "key"))
     leaders = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last")
     members = store.write(banded.join(leaders.drop("last"), "key"), "members")
     near = store.write(docs.join(members.select("id").distinct(), "id").dropDuplicates(["id"]), "texts")
     few = known.select("id", "n_shingles", "registers").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     few = store.write(few, "registers")
+    sets = store.write(sketches.select("id", "n_shingles", "set_hash"), "sets")
+    store.drop("sketches")
     store.reclaim()
 
     links = tested = None
@@ -245,16 +313,22 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     def other_leaders():
         return across(now().select(F.col("lead").alias("a"), "id", "component"))
 
-    def best_connected():
-        degree = members.groupBy("id").agg(F.count("*").alias("degree"))
-        at = mixed().join(degree, "id")
-        best = at.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("best"))
-        return across(at.join(best, "key").select(F.col("best.id").alias("a"), "id", "component"))
+    @F.pandas_udf(T.BinaryType())
+    def short(registers_: pd.Series) -> pd.Series:
+        return registers_.map(lambda x: short_sketch(np.frombuffer(x, np.uint16)).tobytes())
+
+    def in_tiles(nearest):
+        store.reclaim()
+        sketched = few.select("id", short("registers").alias("short"))
+        return _tiles(mixed().select("key", "band", "id", "component").join(sketched, "id"), percent / 100 - MARGIN, nearest)
+
+    def nearest_two():
+        return in_tiles(2)
 
     def the_rest():
-        return _tiles(mixed().select("key", "id", "component"))
+        return in_tiles(None)
 
-    for step, proposed in enumerate((first_leader, other_leaders, best_connected, the_rest)):
+    for step, proposed in enumerate((first_leader, other_leaders, nearest_two, the_rest)):
         pairs = proposed()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -269,7 +343,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
         labels = components(links, "a", "b", store, f"components-{step}")
 
     rep = F.when(F.col("id").isNotNull(), F.coalesce(F.col("rep"), F.col("id")))
-    out = sketches.select("id", "n_shingles", "set_hash").join(classes, "set_hash", "left").withColumn("rep", rep)
+    for name in ("members", "texts", "registers"):  # the result reads none of these
+        store.drop(name)
+    out = sets.join(classes, "set_hash", "left").withColumn("rep", rep)
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
