@@ -137,18 +137,20 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, text: str, percent: int) -> DataFrame:
     """(key, line): the lines that go. docs has KEY."""
-    store = Store(docs.sparkSession, "line-dedup")
+    store = Store(docs.sparkSession, "line-dedup", frugal=True)
     lines = store.write(line_sets(docs, text, word_classes(docs, text), percent), "lines")
     firsts = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("key", "line")).alias("first"))
     joined = lines.join(firsts, ["set_a", "set_b"])
     is_first = (F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line"))
     leaders = store.write(joined.where(is_first & (F.size("prefix") > 0)).select("key", "line", "n", "prefix"), "representatives")
     copies = lines.drop("prefix").join(firsts, ["set_a", "set_b"]).select("key", "line", F.col("first.key").alias("first_key"), F.col("first.line").alias("first_line"))
+    copies = store.write(copies, "classes")
+    store.drop("lines")
 
     words = leaders.select("key", "line", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = words.groupBy("token").agg(F.min("key").alias("lead"), F.count("*").alias("times")).where("times > 1").drop("times")
     shared = store.write(words.join(shared, "token"), "shared")
-    store.reclaim()
+    store.drop("representatives")
 
     lead = _side(shared.where("key = lead"), "x")
     star = lead.join(_side(shared, "y"), "token").where(EARLIER).where(allowed(percent)).select(*PAIR).distinct()
@@ -169,7 +171,10 @@ def repeated_lines(docs: DataFrame, text: str, percent: int) -> DataFrame:
     first_gone = gone.select(F.col("key").alias("first_key"), F.col("line").alias("first_line"), F.lit(True).alias("first_goes"))
     ended = copies.join(first_gone, ["first_key", "first_line"], "left")
     later = (F.col("key") != F.col("first_key")) | (F.col("line") != F.col("first_line"))
-    return ended.where(later | F.coalesce("first_goes", F.lit(False))).select("key", "line").distinct()
+    gone = store.write(ended.where(later | F.coalesce("first_goes", F.lit(False))).select("key", "line").distinct(), "gone")
+    for name in ("classes", "shared", "star", "star-texts", "rest", "rest-texts"):
+        store.drop(name)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, column: str = "lines") -> DataFrame:

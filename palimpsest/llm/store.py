@@ -27,8 +27,9 @@ class Store:
     recomputation. ``drop`` frees a table that no later plan reads.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, frugal: bool = False):
+        """frugal: free the shuffle files of each table's plan as soon as it is written."""
+        self.spark, self.frugal = spark, frugal
         self.root = f"{shared_root(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -37,6 +38,8 @@ class Store:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.mode("error").option("compression", "zstd").parquet(path)
+        if self.frugal:
+            self.reclaim()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

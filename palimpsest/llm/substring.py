@@ -209,4 +209,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
         index.add(docs.where(F.pmod(F.xxhash64(KEY), F.lit(batches)) == k), text)
     index.compact()
     index.store.reclaim()
-    return without_repeats(docs, index.repeated(docs, text), text, column)
+    spans = index.repeated(docs, text)
+    for name in index.runs:  # this index was for one table; what it told is written
+        index.store.drop(name)
+    return without_repeats(docs, spans, text, column)
