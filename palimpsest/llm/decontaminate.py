@@ -1,7 +1,7 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame functions only.
 
 Benchmark items are cut into windows of words. A window's shingles are its word pairs (a window of one word has that
-word); they are ordered by rarity (times in the benchmark, then longer before shorter, then by text). Containment of
+word); they are ordered by rarity (times in the benchmark's texts, then longer before shorter, then by text). Containment of
 the whole window is asked for, so one shingle, the rarest, is the necessary prefix: a text without it can't hold the
 window. Texts are matched with the prefix shingles; where one stands, the window must fit around it within the text
 (length and positional bounds), and its words must be equal one by one.
@@ -47,12 +47,15 @@ def windows_of(items: DataFrame, item_id: str, text: str, size: int) -> DataFram
     return words.select("item", "words", F.explode(starts).alias("start")).select("item", F.slice("words", F.col("start"), F.lit(size)).alias("window")).distinct()
 
 
-def prefixes_of(windows: DataFrame) -> DataFrame:
+def prefixes_of(windows: DataFrame, items: DataFrame, text: str) -> DataFrame:
     """(shingle, place, window): the rarest shingle of each distinct window, and where in the window it first stands."""
-    window = F.col("window")
-    shingles = F.when(F.size(window) == 1, window).otherwise(shingles_of(window))
-    each = windows.select("window").distinct().select("window", F.posexplode(shingles).alias("at", "shingle"))
-    times = each.groupBy("shingle").agg(F.count("*").alias("times"))
+
+    def shingles(words: Column) -> Column:
+        return F.when(F.size(words) == 1, words).otherwise(shingles_of(words))
+
+    each = windows.select("window").distinct().select("window", F.posexplode(shingles(F.col("window"))).alias("at", "shingle"))
+    # Counted in whole items: by windows, a pair at an item's end would seem rarer than one in its middle.
+    times = items.select(words_of(F.col(text)).alias("words")).select(F.explode(shingles(F.col("words"))).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("times"))
     order = F.struct("times", -F.char_length("shingle"), "shingle", "at")
     best = each.join(times, "shingle").groupBy("window").agg(F.min(order).alias("best"))
     return best.select(F.col("best.shingle").alias("shingle"), (F.col("best.at") + 1).alias("place"), "window")
@@ -62,16 +65,18 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     """One row per row of docs: id, text_hash, n_words, n_hit, items (ids of items, sorted as strings), contaminated."""
     store = Store(docs.sparkSession, "decontaminate")
     windows = store.write(windows_of(items, item_id, item_text, size), "windows")
-    prefixes = store.write(prefixes_of(windows), "prefixes")
+    prefixes = store.write(prefixes_of(windows, items, item_text), "prefixes")
     keys = prefixes.select("shingle").distinct()
 
     read = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), words_of(F.col(text)).alias("words"))
     read = read.select("*", shingles_of(F.col("words")).alias("pairs"))
+    sources = ["words", "pairs"]
     if keys.count() <= MAX_LITERAL:
         few = [r.shingle for r in keys.collect()]
         one, two = ([k for k in few if (" " in k) == pair] for pair in (False, True))
         known = lambda of, these: F.array_intersect(of, F.lit(these)) if these else F.expr("cast(array() as array<string>)")
         read = read.select("*", F.concat(known(F.col("words"), one), known(F.col("pairs"), two)).alias("matched"))
+        sources = [of for of, these in (("words", one), ("pairs", two)) if these] or ["pairs"]
     else:
         read = store.write(read.select("*", F.monotonically_increasing_id().alias("row")), "read")
         found = read.select("row", F.explode(F.concat("words", "pairs")).alias("shingle")).join(keys, "shingle").groupBy("row").agg(F.collect_set("shingle").alias("matched"))
@@ -82,7 +87,7 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
         return F.filter(placed, lambda x: F.array_contains(F.col("matched"), x["shingle"]))
 
     none = F.expr("cast(array() as array<struct<at:int,shingle:string>>)")
-    base = read.select("id", "text_hash", F.size("words").cast("long").alias("n_words"), "words", F.when(F.size("matched") > 0, F.concat(spots("words"), spots("pairs"))).otherwise(none).alias("spots"))
+    base = read.select("id", "text_hash", F.size("words").cast("long").alias("n_words"), "words", F.when(F.size("matched") > 0, F.concat(*[spots(of) for of in sources])).otherwise(none).alias("spots"))
     # Of the words around a place (0-based), a window that holds it needs at most size - 1 to either side.
     low = lambda at: F.greatest(at - F.lit(size - 1), F.lit(0))
     around = F.transform("spots", lambda x: F.struct(x["at"].alias("at"), x["shingle"].alias("shingle"), low(x["at"]).alias("low"), F.slice(F.col("words"), low(x["at"]) + 1, F.lit(2 * size)).alias("around")))
