@@ -41,7 +41,7 @@ TRIES = 64
 #: An estimate this far below the threshold still goes to verification: over four standard errors of 512 registers, and
 #: more of a small set's, whose registers hold nearly all of it.
 MARGIN = 0.08
-TILE = 1024
+TILE = 4096
 
 
 def shingle_hashes(words: vec.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
