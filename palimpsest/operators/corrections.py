@@ -138,7 +138,7 @@ def restore_lines(text: str, log: list[Change]) -> str:
 
 
 def space(text: str, log: list[Change]) -> str:
-    text = re.sub("[  -​  　]", " ", text)
+    text = re.sub(r"[\u00a0\u2000-\u200b\u202f\u205f\u3000]", " ", text)
     text = _edit(r"(?<=\S) {2,}", text, lambda m: " ", SPACE, 1.0, log)
     return "\n".join(x.rstrip(BLANK) for x in re.split(P.LINE_END, text))
 
