@@ -11,7 +11,7 @@ with a leader (linear in the bucket's size), linked parts become one component,
 several components are looked at again: with their other leaders, then in tiles of bounded size, where a task compares
 sketches of one byte for each register across components. First each member outside the tile's largest component
 proposes its two nearest, which settles most; what then still stands apart proposes all that may reach the threshold,
-each pair in the first band that it shares. So no pair that could join two components is left untested, and a large
+each pair in the first band whose full key it shares, which is the first bucket where it meets. So no pair that could join two components is left untested, and a large
 group of copies never meets pair by pair.
 
 Cases: null or empty texts have the empty set and are linked with nothing. A null id can't be linked: its row is
@@ -72,16 +72,16 @@ def lenders() -> np.ndarray:
     return (x % np.uint64(BUCKETS)).astype(np.int64).reshape(TRIES, BUCKETS)
 
 
-def filled(regs: np.ndarray, empty: int = EMPTY) -> np.ndarray:
+def filled(regs: np.ndarray) -> np.ndarray:
     """Registers (rows of BUCKETS) with the empty ones borrowed; rows must have a value."""
     out = regs.copy()
     for ask in lenders():
-        gaps = out == empty
+        gaps = out == EMPTY
         if not gaps.any():
             return out
         out = np.where(gaps, regs[:, ask], out)
     twice = np.concatenate([out, out], 1)
-    at = np.where(twice != empty, np.arange(2 * BUCKETS), 2 * BUCKETS)
+    at = np.where(twice != EMPTY, np.arange(2 * BUCKETS), 2 * BUCKETS)
     following = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :BUCKETS]
     return np.take_along_axis(twice, np.minimum(following, 2 * BUCKETS - 1), 1)
 
@@ -216,14 +216,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def _tile_pairs(rows: list[tuple], band: int, least: float, nearest: int | None) -> tuple[list, list]:
-    """Pairs (a, b) of one tile's rows (id, component, short, block) across components."""
-    ids, parts, short, block = zip(*rows, strict=True)
+    """Pairs (a, b) of one tile's rows (id, component, sketch, block) across components; the sketch is short for the
+    nearest, else the registers, whose band keys are those of the buckets."""
+    ids, parts, held, block = zip(*rows, strict=True)
     ids, block = np.array(ids), np.array(block)
     _, parts, sizes = np.unique(np.array(parts), return_inverse=True, return_counts=True)
     if len(sizes) < 2:
         return [], []
-    short = np.frombuffer(b"".join(short), np.uint8).reshape(len(ids), BUCKETS)
-    bands = None if nearest else filled(short, 0)[:, : ROWS * BANDS].reshape(len(ids), BANDS, ROWS)
+    held = np.frombuffer(b"".join(held), np.uint8 if nearest else np.uint16).reshape(len(ids), BUCKETS)
+    short = held if nearest else short_sketch(held)
+    bands = None if nearest else band_keys(filled(held))[:, :band]
     main, two_blocks = sizes.argmax(), block.min() != block.max()
     out_a, out_b = [], []
     for k in np.flatnonzero(parts != main):
@@ -238,19 +240,20 @@ def _tile_pairs(rows: list[tuple], band: int, least: float, nearest: int | None)
         if nearest:
             far = far[np.argsort(-near, kind="stable")[:nearest]]
         elif len(far):
-            far = far[(bands[far] == bands[k]).all(2).argmax(1) == band]
+            far = far[~(bands[far] == bands[k]).any(1)]
         out_a.append(np.minimum(ids[far], ids[k]))
         out_b.append(np.maximum(ids[far], ids[k]))
     return out_a, out_b
 
 
 def _tiles(buckets: DataFrame, least: float, nearest: int | None) -> DataFrame:
-    """Promising pairs of members of a bucket (key, band, id, component, short) in different components, TILE x TILE at a time."""
+    """Promising pairs of members of a bucket (key, band, id, component, and short or registers) in different components, TILE x TILE at a time."""
+    held = "short" if nearest else "registers"
     sized = buckets.join(buckets.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n")), "key")
     # Block b stands in the tiles (b, 0) .. (b, b) .. (n - 1, b), so that each two blocks meet in one tile.
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    placed = sized.select("key", "band", "id", "component", "short", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"), other.alias("other"))
-    placed = placed.select("key", "band", "id", "component", "short", "block", F.greatest("block", "other").alias("i"), F.least("block", "other").alias("j"))
+    placed = sized.select("key", "band", "id", "component", held, F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"), other.alias("other"))
+    placed = placed.select("key", "band", "id", "component", held, "block", F.greatest("block", "other").alias("i"), F.least("block", "other").alias("j"))
     placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
@@ -269,7 +272,7 @@ def _tiles(buckets: DataFrame, least: float, nearest: int | None) -> DataFrame:
                 rows.append((a, b, c, d))
         yield from out()
 
-    return placed.select("key", "i", "j", "band", "id", "component", "short", "block").mapInArrow(run, PAIR).distinct()
+    return placed.select("key", "i", "j", "band", "id", "component", held, "block").mapInArrow(run, PAIR).distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -319,7 +322,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
     def in_tiles(nearest):
         store.reclaim()
-        sketched = few.select("id", short("registers").alias("short"))
+        sketched = few.select("id", short("registers").alias("short") if nearest else "registers")
         return _tiles(mixed().select("key", "band", "id", "component").join(sketched, "id"), percent / 100 - MARGIN, nearest)
 
     def nearest_two():
