@@ -3,9 +3,9 @@
 The units of a text are its lines and, if it has several, the whole text. A unit and a template are normalised (lower
 case, every run of characters that are neither letters nor digits is one space) and become sets of word bigrams. Their
 Dice coefficient 2|A & B| / (|A| + |B|) can only reach the threshold t if both sizes are within a factor t / (2 - t),
-so a unit is compared only with templates in those bounds, and most units with none. A unit of over four times the
-words of the largest size in bounds is no notice and is not compared. All is done inside a row: no
-shuffle, and no row depends on another.
+so a unit is compared only with templates in those bounds, and most units with none. The bounds hold for the distinct
+bigrams; words have no upper bound, as they can repeat. All is done inside a row: no shuffle, and no row depends on
+another.
 
 Cases: null and empty texts have no units. Units of one word have no bigram and match nothing. Equal scores go to the
 template that comes first by name. Repeated rows are judged one by one; input columns are kept.
@@ -78,15 +78,14 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> D
     """docs with n_matches (units), licenses (names, sorted, comma-joined), best_license and best_dice (null if none)."""
     known = templates()
     kinds = [(name, grams, *bounds(len(grams), threshold)) for name, grams in known]
-    least, most = min(k[2] for k in kinds), max(k[3] for k in kinds)
+    least = min(k[2] for k in kinds)
     given = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(grams).alias("grams"), F.lit(low).alias("low"), F.lit(high).alias("high")) for name, grams, low, high in kinds])
 
     lines = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), UNIT, " "), "\n", -1)
     read = docs.withColumn("_lines", F.transform(lines, lambda x: F.filter(F.split(x, " "), lambda w: w != "")))
-    total = F.aggregate("_lines", F.lit(0), lambda a, x: a + F.size(x))
     # Repeated bigrams make a set smaller than its words, so only the lower bound prunes before the set is known.
-    whole = F.when((F.size("_lines") > 1) & (total <= 4 * most), F.array(F.flatten("_lines"))).otherwise(F.expr("cast(array() as array<array<string>>)"))
-    units = F.filter(F.concat("_lines", whole), lambda w: (F.size(w) > least) & (F.size(w) <= 4 * most))
+    whole = F.when(F.size("_lines") > 1, F.array(F.flatten("_lines"))).otherwise(F.expr("cast(array() as array<array<string>>)"))
+    units = F.filter(F.concat("_lines", whole), lambda w: F.size(w) > least)
     read = read.withColumn("_sets", F.transform(units, bigrams))
 
     def scores(unit: Column) -> Column:
