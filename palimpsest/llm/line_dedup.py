@@ -69,11 +69,11 @@ def line_sets(docs: DataFrame, text: str, classes: bytes, percent: int) -> DataF
                 number = before - np.searchsorted(breaks, offsets[texts])
                 line = np.cumsum(np.diff(before + texts, prepend=-1) != 0) - 1
                 kind = rarity[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                if line[-1] < 1 << 20:
-                    low = np.uint64((1 << 38) - 1)
+                low = np.uint64((1 << 38) - 1)
+                if line[-1] < 1 << 20:  # both branches give one order
                     order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (kind.astype(np.uint64) << np.uint64(38)) | (h & low))
                 else:
-                    order = np.lexsort((h, kind, line))
+                    order = np.lexsort((h, h & low, kind, line))
                 first_word = np.flatnonzero(np.diff(line, prepend=-1))
                 h, line = h[order], line[order]
                 new = np.ones(len(h), bool)
