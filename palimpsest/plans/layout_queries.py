@@ -152,14 +152,25 @@ def redact_documents(spark, sf):
     return d.select("doc_id", F.size(pii.detections(F.col("text"))).alias("n_found"), F.sha2(pii.mask(F.col("text")).cast("binary"), 256).alias("sha256"))
 
 
+def pages(orders: DataFrame) -> DataFrame:
+    return orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.expr("array(1L, 2L)")).alias("page_no"), F.lit(595.0).alias("page_width"), F.expr("cast(800 + o_custkey % 50 as double)").alias("page_height"), F.lit(1654.0).alias("bitmap_width"), F.lit(2339.0).alias("bitmap_height"))
+
+
 @query(f"""
 WITH p AS (SELECT o_orderkey AS doc_id, unnest(range(1, 3)) AS page_no, 595.0::DOUBLE AS pw, (800 + o_custkey % 50)::DOUBLE AS ph FROM orders WHERE o_orderkey % 10 = 0)
 SELECT p.doc_id, page_no, trunc(ml * (1654 / pw))::INT AS "left", trunc(mt * (2339 / ph))::INT AS top, trunc(mr * (1654 / pw))::INT AS "right", trunc(mb * (2339 / ph))::INT AS bottom FROM p JOIN {MASK_SQL} m ON p.doc_id = m.doc_id
 """)
 def redact_pages(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 10 = 0")
-    pages = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.expr("array(1L, 2L)")).alias("page_no"), F.lit(595.0).alias("page_width"), F.expr("cast(800 + o_custkey % 50 as double)").alias("page_height"), F.lit(1654.0).alias("bitmap_width"), F.lit(2339.0).alias("bitmap_height"))
-    return R.scaled_mask(pages, masks(spark, sf))
+    return R.scaled_mask(pages(table(spark, sf, "orders").where("o_orderkey % 10 = 0")), masks(spark, sf))
+
+
+@query(f"""
+WITH p AS (SELECT o_orderkey AS doc_id, unnest(range(1, 3)) AS page_no, 595.0::DOUBLE AS pw, (800 + o_custkey % 50)::DOUBLE AS ph FROM orders)
+SELECT p.doc_id, page_no, trunc(ml * (1654 / pw))::INT AS "left", trunc(mt * (2339 / ph))::INT AS top, trunc(mr * (1654 / pw))::INT AS "right", trunc(mb * (2339 / ph))::INT AS bottom FROM p JOIN {MASK_SQL} m ON p.doc_id = m.doc_id
+""")
+def redact_pages_all(spark, sf):
+    """redact_pages over all orders."""
+    return R.scaled_mask(pages(table(spark, sf, "orders")), masks(spark, sf))
 
 
 @query(f"""
@@ -240,7 +251,17 @@ WITH p AS (SELECT id, list_sort([{{'s': x1 + y1, 'k': 1, 'x': x1, 'y': y1}}, {{'
 SELECT id, c[1].x AS x1, CASE WHEN c[2].x <= c[3].x THEN c[2].x ELSE c[3].x END AS x2, c[4].x AS x3, CASE WHEN c[2].x <= c[3].x THEN c[3].x ELSE c[2].x END AS x4, CASE WHEN c[2].x <= c[3].x THEN c[2].y ELSE c[3].y END AS y2 FROM p
 """)
 def quad_corners(spark, sf):
-    c = quads(spark, sf).where("id % 5 <> 0").select("id", G.order_corners(F.col("q")).alias("c"))
+    return corners(quads(spark, sf).where("id % 5 <> 0"))
+
+
+@query()
+def quad_corners_all(spark, sf):
+    """quad_corners with the quads of equal corners too: ties keep the order of the input."""
+    return corners(quads(spark, sf))
+
+
+def corners(q: DataFrame) -> DataFrame:
+    c = q.select("id", G.order_corners(F.col("q")).alias("c"))
     return c.select("id", *[F.col("c")[k]["x"].alias(f"x{k + 1}") for k in range(4)], F.col("c")[1]["y"].alias("y2"))
 
 
