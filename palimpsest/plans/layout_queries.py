@@ -336,6 +336,22 @@ def scan_batch_mode(spark, sf):
     return S.scan_mode(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0 and event_id < 100"), "BATCH", "props", "event_id")
 
 
+HALVES_SQL = "SELECT event_id, props FROM events WHERE event_id % 2 = 1 AND props NOT IN (SELECT props FROM events WHERE event_id % 2 = 0)"
+
+
+@query(HALVES_SQL)
+def batch_dedup_all(spark, sf):
+    """batch_dedup with every event in one of the two inputs: the even ids accepted, the odd ones the batch."""
+    e = table(spark, sf, "events").select("event_id", "props")
+    return S.batch_dedup(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), "props")
+
+
+@query(HALVES_SQL + " UNION ALL SELECT event_id, props FROM events WHERE event_id % 2 = 0")
+def scan_batch_mode_all(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "props")
+    return S.scan_mode(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), "BATCH", "props", "event_id")
+
+
 @query("SELECT event_id, props FROM events ORDER BY event_id LIMIT 1")
 def scan_single_mode(spark, sf):
     e = table(spark, sf, "events").select("event_id", "props")
