@@ -1,5 +1,6 @@
 """Queries over whole tables against plain versions."""
 
+from palimpsest.plans import layout_queries, text_queries  # noqa: F401  (they register their queries)
 from palimpsest.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +17,22 @@ def test_corners_with_ties(spark):
     ids = [r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()]
     got = {r.id: (r.x1, r.x2, r.x3, r.x4, r.y2) for r in QUERIES["quad_corners_all"](spark, SF).collect()}
     assert got == {i: plain(i) for i in ids} and any(i % 5 == 0 for i in ids)
+
+
+def test_char_accuracy_of_whole_texts(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text}
+    odd = sorted((i for i, t in texts.items() if not t.isascii()), key=lambda i: len(texts[i]))[:20]
+    got = {r.item_id: r.accuracy for r in QUERIES["char_accuracy_all"](spark, SF).collect()}
+    for i in odd:
+        e = texts[i].lower().strip()
+        a = texts[i].translate(str.maketrans("aeo", "ecu")).replace("th", "t").lower().strip()
+        assert got[i] == round(max(0, 1 - distance(e, a) / max(len(e), len(a))), 9)
+    assert odd and set(texts) <= set(got)
