@@ -7,11 +7,12 @@ common words against all other words. A document's distance is the least Jensen-
 any language's reference, as texts may be mislabelled. It is taken only above a least length, and the limit for words
 falls with the length (word_limit + word_slack / sqrt(words)), since short texts scatter. Languages outside
 Rules.languages, and null, share the one reference "other": there are a fixed few references of fixed size, which are
-collected and put into the plan.
+collected and given to the tasks.
 
 Cases: a null text counts as empty (no words, so base_failed). A group without any passing document has no reference;
-with no reference at all, documents are judged by the base rules alone. Repeated rows are measured one by one and all
-count.
+with no reference at all, documents are judged by the base rules alone. A text without a plain word (digits only, say)
+has no distances. Repeated rows are measured one by one and all count. Other columns pass through whatever their names;
+a column of the result's name is refused.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
+from .store import refuse
 
 # Frequent function words of the languages with a reference of their own.
 COMMON_WORDS = {
@@ -61,6 +63,10 @@ ARROW = pa.struct(
     [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     + [(n, pa.list_(pa.int64())) for n in ("char_counts", "word_counts")]
 )
+JUDGED = T.StructType(
+    [*STRUCT.fields, T.StructField("base_failed", T.BooleanType()), T.StructField("char_distance", T.DoubleType())]
+    + [T.StructField("word_distance", T.DoubleType()), T.StructField("kept", T.BooleanType())]
+)
 
 
 @lru_cache(1)
@@ -101,7 +107,8 @@ def repeated_lines(body: bytes) -> int:
     return count
 
 
-def measure_piece(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | list]:
+def measure_piece(data: np.ndarray, offsets: np.ndarray, lines: bool = True) -> dict[str, np.ndarray | list]:
+    """The measures of each text; without lines, n_dup_lines is 0 (the references don't need it)."""
     n = len(offsets) - 1
 
     def per_text(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -136,88 +143,106 @@ def measure_piece(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
         "n_words": words.counts,
         "word_chars": classes.sum(1) - classes[:, CLASSES.index("blank")],
         "n_symbols": per_text(vec.lut(SYMBOLS)[data], offsets),
-        "n_dup_lines": [repeated_lines(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)],
+        "n_dup_lines": [repeated_lines(raw[a:b]) if lines else 0 for a, b in zip(offsets[:-1], offsets[1:], strict=True)],
         "n_repeat_words": per_text(covered, words.first),
-        "char_counts": list(classes.astype(np.int64)),
-        "word_counts": list(common.astype(np.int64)),
+        "char_counts": classes.astype(np.int64),
+        "word_counts": common.astype(np.int64),
     }
 
 
+def _lists(counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * counts.shape[1], pa.int32()), pa.array(counts.ravel()))
+
+
+def _struct(found: dict, kind: pa.StructType) -> pa.StructArray:
+    return pa.StructArray.from_arrays([_lists(found[f.name]) if f.name.endswith("_counts") else pa.array(found[f.name], f.type) for f in kind], fields=list(kind))
+
+
 def measure(docs: DataFrame, text: str = "text", column: str = "quality") -> DataFrame:
-    if column in docs.columns:
-        raise ValueError(f"the input already has a column {column!r}")
+    return _with_struct(docs, text, column, STRUCT, ARROW, lambda found: found)
+
+
+def _with_struct(docs: DataFrame, text: str, column: str, kind: T.StructType, arrow: pa.StructType, finish) -> DataFrame:
+    refuse(docs, column)
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
             for row, data, offsets in vec.pieces(batch.column(at)):
                 part = batch.slice(row, len(offsets) - 1)
-                found = measure_piece(data, offsets)
-                out = pa.StructArray.from_arrays([pa.array(found[f.name], f.type) for f in ARROW], fields=list(ARROW))
+                out = _struct(finish(measure_piece(data, offsets)), arrow)
                 yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, STRUCT)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, kind)]))
 
 
-def base_failed(q: Column, rules: Rules) -> Column:
+def base_failed(q: dict, rules: Rules) -> np.ndarray:
     return (q["n_words"] < rules.min_words) | (100 * q["n_repeat_words"] > rules.max_repeat_percent * q["n_words"])
 
 
-def group_of(lang: Column, rules: Rules) -> Column:
-    return F.when(lang.isin(*rules.languages), lang).otherwise("other")
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> list:
+    """A row (ref_group, ref_chars, ref_words) for each language group: pooled counts of its documents that pass the base rules.
 
+    A task adds up its documents and gives one row for each group; there are len(Rules.languages) + 1 groups.
+    """
+    groups = [*rules.languages, "other"]
 
-def references(measured: DataFrame, lang: str = "lang", column: str = "quality", rules: Rules = Rules()) -> DataFrame:
-    """One row per language group: pooled counts of all its documents that pass the base rules."""
-    q = F.col(column)
+    def run(batches):
+        chars = np.zeros((len(groups), len(CLASSES)), np.int64)
+        words = np.zeros((len(groups), len(VOCABULARY) + 1), np.int64)
+        for batch in batches:
+            for row, data, offsets in vec.pieces(batch.column(1)):
+                n = len(offsets) - 1
+                q = measure_piece(data, offsets, lines=False)
+                of = np.array([groups.index(x) if x in rules.languages else len(groups) - 1 for x in batch.column(0).slice(row, n).to_pylist()])
+                fine = ~base_failed(q, rules)
+                np.add.at(chars, of[fine], q["char_counts"][fine])
+                np.add.at(words, of[fine], q["word_counts"][fine])
+        some = np.flatnonzero(chars.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array([groups[k] for k in some], pa.string()), _lists(chars[some]), _lists(words[some])], ["ref_group", "chars", "words"])
 
     def pooled(field: str, size: int) -> Column:
-        return F.array(*[F.sum(q[field][i]) for i in range(size)])
-
-    return (
-        measured.where(~base_failed(q, rules))
-        .groupBy(group_of(F.col(lang), rules).alias("ref_group"))
-        .agg(pooled("char_counts", len(CLASSES)).alias("ref_chars"), pooled("word_counts", len(VOCABULARY) + 1).alias("ref_words"))
-    )
-
-
-def jensen_shannon(counts: Column, reference: Column) -> Column:
-    """Distance of two arrays of counts, base 2; null if either is all zero."""
-
-    def share(x: Column) -> Column:
-        total = F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
-        return F.when(total > 0, F.transform(x, lambda v: v / total))
-
-    def part(p: Column, q: Column) -> Column:
-        return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
-
-    terms = F.zip_with(share(counts), reference, lambda p, q: (part(p, q) + part(q, p)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)))
-
-
-def nearest(counts: Column, references_: list[list[int]]) -> Column:
-    shares = [[v / sum(r) for v in r] for r in references_ if sum(r)]
-    if not shares:
-        return F.lit(None).cast("double")
-    return F.array_min(F.array(*[jensen_shannon(counts, F.lit(s)) for s in shares]))
+        return F.array(*[F.sum(F.col(field)[i]) for i in range(size)])
+
+    rows = docs.select(F.col(lang).cast("string"), text).mapInArrow(run, "ref_group string, chars array<long>, words array<long>")
+    return rows.groupBy("ref_group").agg(pooled("chars", len(CLASSES)).alias("ref_chars"), pooled("words", len(VOCABULARY) + 1).alias("ref_words")).collect()
+
+
+def nearest(counts: np.ndarray, references_: list[list[int]]) -> np.ndarray:
+    """Least Jensen-Shannon distance (base 2) of each row of counts to a reference; NaN for an all-zero row or without references."""
+    out = np.full(len(counts), np.nan)
+    total = counts.sum(1)
+    rows = np.flatnonzero(total > 0)
+    p = counts[rows] / total[rows, None]
+    for reference in references_:
+        if not sum(reference):
+            continue
+        q = np.array(reference, float) / sum(reference)
+        both = p + q
+        with np.errstate(divide="ignore", invalid="ignore"):
+            terms = np.where(p > 0, p * np.log2(2 * p / both), 0.0) + np.where(q > 0, q * np.log2(2 * q / both), 0.0)
+        distance = np.sqrt(np.maximum(0.0, terms.sum(1) / 2))
+        out[rows] = np.fmin(out[rows], distance)
+    return out
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", column: str = "quality", rules: Rules = Rules()) -> DataFrame:
-    """docs with ``column``: the measures, base_failed, char_distance, word_distance and kept.
+    """docs with ``column``: the measures, base_failed, char_distance, word_distance (null where not taken) and kept.
 
     The texts are read twice, once for the references and once to be judged; nothing but the references is moved.
     """
-    refs = references(measure(docs.select(lang, text), text, column), lang, column, rules).collect()  # a row for each language
-    q = F.col(column)
-    chars = F.aggregate(q["char_counts"], F.lit(0).cast("long"), lambda a, b: a + b)
-    plain = F.aggregate(q["word_counts"], F.lit(0).cast("long"), lambda a, b: a + b)
-    failed = base_failed(q, rules)
-    char_distance = F.when(~failed & (chars >= rules.min_chars), nearest(q["char_counts"], [r.ref_chars for r in refs]))
-    word_distance = F.when(~failed & (plain >= rules.min_plain_words), nearest(q["word_counts"], [r.ref_words for r in refs]))
-    measured = measure(docs, text, column).select(*docs.columns, q, failed.alias("_failed"), char_distance.alias("_chars"), word_distance.alias("_words"), (rules.word_limit + rules.word_slack / F.sqrt(plain)).alias("_limit"))
-    near = (F.coalesce("_chars", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce("_words", F.lit(0.0)) <= F.col("_limit"))
-    judged = F.struct(
-        *[q[f.name].alias(f.name) for f in STRUCT.fields], F.col("_failed").alias("base_failed"),
-        F.col("_chars").alias("char_distance"), F.col("_words").alias("word_distance"), (~F.col("_failed") & F.coalesce(near, F.lit(True))).alias("kept"),
-    )
-    return measured.select(*docs.columns, judged.alias(column))
+    refuse(docs, column)
+    refs = references(docs, text, lang, rules)  # a row for each language group
+    by_chars, by_words = [list(r.ref_chars) for r in refs], [list(r.ref_words) for r in refs]
+
+    def finish(q: dict) -> dict:
+        failed = base_failed(q, rules)
+        chars, plain = q["char_counts"].sum(1), q["word_counts"].sum(1)
+        char = np.where(~failed & (chars >= rules.min_chars), nearest(q["char_counts"], by_chars), np.nan)
+        word = np.where(~failed & (plain >= rules.min_plain_words), nearest(q["word_counts"], by_words), np.nan)
+        limit = rules.word_limit + rules.word_slack / np.sqrt(np.maximum(plain, 1))
+        far = (char > rules.max_char_distance) | (word > limit)  # a comparison with NaN is false
+        given = lambda x: pa.array(x, pa.float64(), mask=np.isnan(x))
+        return q | {"base_failed": failed, "char_distance": given(char), "word_distance": given(word), "kept": ~failed & ~far}
+
+    return _with_struct(docs, text, column, JUDGED, pa.struct([*ARROW, ("base_failed", pa.bool_()), ("char_distance", pa.float64()), ("word_distance", pa.float64()), ("kept", pa.bool_())]), finish)
