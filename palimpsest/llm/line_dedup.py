@@ -1,208 +1,477 @@
 """Near-duplicate lines by an exact set-similarity join with prefix, positional and length filters.
 
-A line's set is its distinct words (white-space separated, unchanged). A line goes if an earlier line, by (document id,
-line number), has a Jaccard similarity of at least ``percent``; lines are judged on the input, not on what is left.
+A line's set is its distinct words (white-space separated, unchanged). A line goes if an earlier line has a Jaccard
+similarity of at least ``percent``; lines are judged on the input, not on what is left. Earlier is by (document id,
+line number), and where these are equal by the line's set.
 
-Words are ordered by rarity: how often they occur in all lines, as a power of two, then by hash. Counts are kept in a
-fixed number of hashed buckets, so the order has a bounded size and is still one total order, which is all that the
-prefix filter needs. Lines with equal sets are one class, represented by its first line. Two different sets of
+Words are ordered by rarity: how often they occur in all lines, as a power of two, then by hash. Counts are kept in
+2**BUCKET_BITS hashed buckets, so the order has a bounded size (4 MB) and is one total order for all tasks, which is all
+that the prefix filter needs. Lines with equal sets are one class, represented by its first line. Two different sets of
 similarity p share a word among their rarest n - ceil(p * n) + 1 words; sets for which that needs equality (fewer than
-four words at 80 %) have no prefix. Representatives meet on a shared prefix word if sizes and positions allow the
-overlap, and the pair is verified on its words. First each line meets the first document of the word (linear in the
-bucket), which settles families of copies; only lines still undecided meet every earlier line of their buckets.
+four words at 80 %) have no prefix. A prefix word whose bucket counts 1 occurs once in all texts and is dropped.
+
+A prefix word that is frequent (over 2**HOT_CLASS) is joined with a second word: sets that share a frequent prefix word
+and no rarer one still share two of the words of a prefix that is longer by one, so each such line is dealt out by its
+pairs of words instead. A key that may still have more than CELL lines is dealt to several cells by line.
+
+Keys move as packed arrays, dealt by key (and cell). There, all lines of a key are in order of size, and each line meets
+the earlier ones in its size range; position, size and a bitmap of the words (the bits in which two sets differ bound
+their overlap) leave few candidates. A line proposes its best ``K`` candidates of a part only. Proposed pairs are verified
+on the words of the lines. Lines that are not settled by them, and had more candidates or other cells, are proposed
+again with a larger K, against all cells, until none is left; so no pair that could matter is left untested, and a
+large family of near copies never meets pair by pair.
 
 Cases: null and empty texts have no lines to lose; lines without words stay. A null id sorts before all others. Rows
-that repeat an id are one document: lines at the same place are not held against each other.
+that repeat an id with the same text are one document and are cut alike; with different texts they are two.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .store import Store
+from .store import Store, fresh, refuse
 
-BUCKET_BITS = 16
-KEY = "_line_key"
+BUCKET_BITS, CHUNK = 22, 1 << 16
+HOT_CLASS, CELL_BITS = 17, 14
+#: Keys of one part, and pairs that are held as arrays at once.
+PART_KEYS, PAIRS = 200_000, 2 << 20
+FIRST_K, MORE_K = 1, 8
 
 
-def word_classes(docs: DataFrame, text: str) -> bytes:
-    """Rarity class (bit length of the count) of each of the 2**BUCKET_BITS hashed buckets, over all texts."""
+def merged_counts(df: DataFrame, buckets_of: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
+    """Bit length (uint8) of how often each of the 2**BUCKET_BITS buckets comes, over arrays of bucket numbers made from df.
 
-    def run(batches):
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+    A task sends its counts once, in compressed chunks; the chunks are added up apart, and 2**BUCKET_BITS bytes come back.
+    """
+
+    def count(batches):
+        total = np.zeros(1 << BUCKET_BITS, np.uint32)
+        for at in buckets_of(batches):
+            total += np.bincount(at, minlength=len(total)).astype(np.uint32)
+        rows = [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(total.reshape(-1, CHUNK)) if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], ["chunk", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts = np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+                sums[k] = sums[k] + counts if k in sums else counts.astype(np.int64)
+        for k, c in sums.items():
+            length = np.frexp(c.astype(np.float64))[1].astype(np.uint8)  # 0 for 0, else the bit length
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(length.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+
+    rows = df.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()
+    out = np.zeros(1 << BUCKET_BITS, np.uint8)
+    for r in rows:  # at most 2**BUCKET_BITS / CHUNK
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.uint8)
+    return out
+
+
+def word_classes(docs: DataFrame, text: str) -> np.ndarray:
+    """Rarity class of each bucket of words, over all texts."""
+
+    def buckets(batches):
         for batch in batches:
             for _, data, offsets in vec.pieces(batch.column(0)):
-                h = vec.Words(data, offsets, vec.WHITE).hashes()
-                total += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "times"])
+                yield (vec.Words(data, offsets, vec.WHITE).hashes() >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+    return merged_counts(docs.select(text), buckets)
+
+
+def shared(x: np.ndarray) -> bytes:
+    return zlib.compress(x.tobytes(), 1)
+
+
+class Sets:
+    """The sets of the lines of a piece: words in order of rarity, line by line."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray):
+        words = vec.Words(data, offsets, vec.WHITE)
+        h, texts = words.hashes(), words.text_of
+        breaks = np.flatnonzero(data == 10)
+        before = np.searchsorted(breaks, words.start)
+        line = np.cumsum(np.diff(before + texts, prepend=-1) != 0) - 1
+        first_word = np.flatnonzero(np.diff(line, prepend=-1))
+        self.text = texts[first_word]
+        self.number = before[first_word] - np.searchsorted(breaks, offsets[self.text])
+        kind = rarity[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+        low = h & np.uint64((1 << 38) - 1)
+        packed = (line.astype(np.uint64) << np.uint64(44)) | (kind.astype(np.uint64) << np.uint64(38)) | low
+        order = np.argsort(packed) if len(line) and line[-1] < 1 << 20 else None
+        if order is not None:
+            same = packed[order]
+            same = same[1:] == same[:-1]
+            if (h[order[1:]] != h[order[:-1]])[same].any():  # two words of a line agree in the packed bits
+                order = None
+        if order is None:
+            order = np.lexsort((h, low, kind, line))
+        h, line, kind = h[order], line[order], kind[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        self.h, self.line, self.kind = h[new], line[new], kind[new]
+        self.begin = np.flatnonzero(np.diff(self.line, prepend=-1))
+        self.n = np.diff(np.append(self.begin, len(self.h)))
+
+    def hashes(self, salt: int) -> np.ndarray:
+        return np.add.reduceat(vec.mix(self.h ^ np.uint64(salt)), self.begin).view(np.int64) if len(self.begin) else np.zeros(0, np.int64)
+
+    def bits(self) -> np.ndarray:
+        return np.bitwise_xor.reduceat(np.uint64(1) << ((self.h >> np.uint64(32)) & np.uint64(63)), self.begin).view(np.int64)
+
+    def keys(self, percent: int) -> tuple[np.ndarray, ...]:
+        """(line, key, position, cells as a power of two) of the prefix words, and pairs of words for frequent ones."""
+        n = self.n
+        need = -(-percent * n // 100)
+        # A different set of the needed overlap must exist: one with a word more.
+        size = np.where(100 * n >= percent * (n + 1), n - need + 1, 0)
+        at = np.arange(len(self.h)) - self.begin[self.line]
+        token = (self.h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        inside = at < size[self.line]
+        # Sets of fewer than two needed words have no second one to share.
+        hot = inside & (self.kind > HOT_CLASS) & (need >= 2)[self.line]
+        one = np.flatnonzero(inside & ~hot & (self.kind != 1))
+        found = [(self.line[one], token[one], at[one], self.kind[one])]
+        second = at < (size + (size > 0))[self.line]
+        for step in range(1, int(size[self.line[hot]].max()) + 1 if hot.any() else 1):
+            a = np.arange(len(self.h) - step)
+            b = a + step
+            a = a[(self.line[a] == self.line[b]) & second[b] & (hot[a] | hot[b]) & (self.kind[a] != 1) & (self.kind[b] != 1)]
+            b = a + step
+            pair = vec.mix(self.h[a] * np.uint64(vec.BASE) + self.h[b]).astype(np.uint32)
+            # Both words are shared, which is one more than a single key's position says.
+            found.append((self.line[a], pair, at[b] - 1, np.minimum(self.kind[a], self.kind[b])))
+        line, key, place, kind = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(line, kind="stable")
+        cells = np.maximum(0, kind.astype(np.int64) - CELL_BITS).astype(np.uint8)
+        return line[order], key[order], place[order].astype(np.uint32), cells[order]
+
+
+LINES = "id long, hash long, line int, set_a long, set_b long, n int, bits long, keys binary, places binary, cells binary, n_keys int, wide boolean"
+
+
+def cut_binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    ends = np.append(0, np.cumsum(counts)) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def line_sets(docs: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
+    """LINES of each line with a word; docs has id, hash and text."""
+    rarity_ = shared(classes)
 
-    rows = docs.select(text).mapInArrow(run, "bucket int, times long").groupBy("bucket").agg(F.sum("times").alias("times")).collect()
-    classes = np.zeros(1 << BUCKET_BITS, np.uint8)
-    for r in rows:  # at most 2**BUCKET_BITS
-        classes[r.bucket] = int(r.times).bit_length()
-    return classes.tobytes()
+    def run(batches):
+        rarity = np.frombuffer(zlib.decompress(rarity_), np.uint8)
+        for batch in batches:
+            for row, data, offsets in vec.pieces(batch.column(2)):
+                sets = Sets(data, offsets, rarity)
+                if not len(sets.n):
+                    continue
+                ids, hashes = (batch.column(k).slice(row, len(offsets) - 1).to_numpy(zero_copy_only=False)[sets.text] for k in (0, 1))
+                line, key, place, cells = sets.keys(percent)
+                count = np.bincount(line, minlength=len(sets.n))
+                wide = np.bincount(line, weights=cells, minlength=len(sets.n)) > 0
+                columns = [ids, hashes, sets.number.astype(np.int32), sets.hashes(0x51), sets.hashes(0xA7F3), sets.n.astype(np.int32), sets.bits()]
+                columns = [*map(pa.array, columns), *(cut_binary(x, count) for x in (key, place, cells)), pa.array(count, pa.int32()), pa.array(wide)]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in LINES.split(", ")])
 
+    return docs.select("id", "hash", "text").mapInArrow(run, LINES)
 
-LINES = "key long, line int, set_a long, set_b long, n int, prefix array<int>"
 
+#: Columns of packed keys.
+PACKED = [("key", np.uint32), ("id", np.int64), ("line", np.int32), ("set_a", np.int64), ("n", np.int32), ("place", np.uint32), ("bits", np.uint64), ("role", np.uint8)]
+WIDTH = sum(np.dtype(t).itemsize for _, t in PACKED)
+EARLIER, LATER = 1, 2
 
-def line_sets(docs: DataFrame, text: str, classes: bytes, percent: int) -> DataFrame:
-    """(key, line, set_a, set_b, n, prefix) of each line with a word; docs has KEY and text."""
+
+def packed_parts(lines: DataFrame, parts: int, wanted: bytes | None) -> DataFrame:
+    """(part, cell, body): the keys of lines (with their role) as packed arrays. wanted: only keys in these buckets."""
 
     def run(batches):
-        rarity = np.frombuffer(classes, np.uint8)
+        asked = None if wanted is None else np.frombuffer(zlib.decompress(wanted), np.uint8)
+        held: list[dict] = []
+        size = 0
+
+        def out():
+            one = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+            order = np.lexsort((one["cell"], one["part"]))
+            one = {k: v[order] for k, v in one.items()}
+            edges = np.flatnonzero((np.diff(one["part"], prepend=-1) != 0) | (np.diff(one["cell"], prepend=-1) != 0))
+            bodies = [b"".join(one[k][a:b].tobytes() for k, _ in PACKED) for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(one["part"][edges], pa.int32()), pa.array(one["cell"][edges], pa.int32()), pa.array(bodies, pa.binary())], ["part", "cell", "body"])
+
         for batch in batches:
-            for row, data, offsets in vec.pieces(batch.column(1)):
-                keys = batch.column(0).slice(row, len(offsets) - 1).to_numpy(zero_copy_only=False)
-                words = vec.Words(data, offsets, vec.WHITE)
-                if not len(words):
-                    continue
-                h, texts = words.hashes(), words.text_of
-                breaks = np.flatnonzero(data == 10)
-                before = np.searchsorted(breaks, words.start)
-                number = before - np.searchsorted(breaks, offsets[texts])
-                line = np.cumsum(np.diff(before + texts, prepend=-1) != 0) - 1
-                kind = rarity[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                low = np.uint64((1 << 38) - 1)
-                if line[-1] < 1 << 20:  # both branches give one order
-                    order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (kind.astype(np.uint64) << np.uint64(38)) | (h & low))
-                else:
-                    order = np.lexsort((h, h & low, kind, line))
-                first_word = np.flatnonzero(np.diff(line, prepend=-1))
-                h, line = h[order], line[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-                h, line = h[new], line[new]
-                begin = np.flatnonzero(np.diff(line, prepend=-1))
-                n = np.diff(np.append(begin, len(h)))
-                need = -(-percent * n // 100)
-                # A different set of the needed overlap must exist: one with a word more.
-                size = np.where(100 * n >= percent * (n + 1), n - need + 1, 0)
-                inside = np.arange(len(h)) - begin[line] < size[line]
-                prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array((h[inside] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
-                sums = [np.add.reduceat(vec.mix(h ^ np.uint64(salt)), begin).view(np.int64) for salt in (0x51, 0xA7F3)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[texts[first_word]]), pa.array(number[first_word], pa.int32()), pa.array(sums[0]), pa.array(sums[1]), pa.array(n, pa.int32()), prefix],
-                    ["key", "line", "set_a", "set_b", "n", "prefix"],
-                )
+            col = {k: batch.column(batch.schema.get_field_index(k)) for k in batch.schema.names}
+            count = col["n_keys"].to_numpy()
+            own = np.repeat(np.arange(batch.num_rows), count)
+            flat = lambda k, t: np.frombuffer(b"".join(col[k].to_pylist()), t)
+            key, place, cells = flat("keys", np.uint32), flat("places", np.uint32), flat("cells", np.uint8)
+            if asked is not None:
+                fine = asked[key >> np.uint32(32 - BUCKET_BITS)] > 0
+                own, key, place, cells = own[fine], key[fine], place[fine], cells[fine]
+            if not len(key):
+                continue
+            one = {k: col[k].to_numpy(zero_copy_only=False)[own] for k in ("id", "line", "set_a", "n", "bits", "role")}
+            one |= {"key": key, "place": place, "part": (vec.mix(key) % np.uint64(parts)).astype(np.int32)}
+            many = np.left_shift(1, cells.astype(np.int64))
+            one["cell"] = (vec.mix(one["set_a"].view(np.uint64)) % many.astype(np.uint64)).astype(np.int32)
+            probe = np.flatnonzero((one["role"] == LATER) & (many > 1))
+            if len(probe):  # open lines meet every cell
+                again = np.repeat(probe, many[probe] - 1)
+                step = np.arange(len(again)) - np.repeat(np.cumsum(many[probe] - 1) - (many[probe] - 1), many[probe] - 1) + 1
+                cell = (one["cell"][again] + step) % many[again]
+                one = {k: np.concatenate([v, cell.astype(v.dtype) if k == "cell" else v[again]]) for k, v in one.items()}
+            one = {k: v.astype(dict(PACKED).get(k, v.dtype), copy=False) if k != "bits" else v.view(np.uint64) for k, v in one.items()}
+            held.append(one)
+            size += len(one["key"])
+            if size >= 1 << 19:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return lines.mapInArrow(run, "part int, cell int, body binary")
+
+
+def unpacked(bodies: list[bytes]) -> dict[str, np.ndarray]:
+    found: dict[str, list[np.ndarray]] = {k: [] for k, _ in PACKED}
+    for body in bodies:
+        n, at = len(body) // WIDTH, 0
+        for k, kind in PACKED:
+            found[k].append(np.frombuffer(body, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return {k: np.concatenate(v) for k, v in found.items()}
+
+
+def best_candidates(keys: dict[str, np.ndarray], percent: int, k: int) -> tuple[np.ndarray, ...]:
+    """(later row, earlier row, more): each later line's best k candidates of this part; more: it has others."""
+    order = np.lexsort((keys["n"], keys["key"]))
+    keys = {c: v[order] for c, v in keys.items()}
+    by_line = np.lexsort((keys["set_a"], keys["line"], keys["id"]))
+    new = np.ones(len(order), bool)
+    for c in ("id", "line", "set_a"):
+        new[1:] &= keys[c][by_line][1:] == keys[c][by_line][:-1]
+    new[1:] = ~new[1:]
+    rank = np.empty(len(order), np.int64)
+    rank[by_line] = np.cumsum(new)
+    n, place, bits = keys["n"].astype(np.int64), keys["place"].astype(np.int64), keys["bits"]
+    group = (np.cumsum(np.diff(keys["key"].astype(np.int64), prepend=-1) != 0) << 32) | n
+    later = np.flatnonzero(keys["role"] & LATER)
+    lo = np.searchsorted(group, (group[later] & ~np.int64(0xFFFFFFFF)) | -(-percent * n[later] // 100))
+    hi = np.searchsorted(group, (group[later] & ~np.int64(0xFFFFFFFF)) | (100 * n[later] // percent), "right")
+    count = hi - lo
+    some = count > 1
+    later, lo, count = later[some], lo[some], count[some]
+    none = np.zeros(0, np.int64)
+    best = (none, none, none.astype(float), none.astype(bool))  # rows y, x, score, and whether y had to leave some out
+
+    def pruned(y, x, score, more):
+        if not len(y):
+            return y, x, score, more
+        _, one = np.unique((rank[y] << 32) | rank[x], return_index=True)
+        y, x, score, more = y[one], x[one], score[one], more[one]
+        o = np.lexsort((rank[x], score, rank[y]))
+        y, x, score, more = y[o], x[o], score[o], more[o]
+        begin = np.flatnonzero(np.diff(rank[y], prepend=-1))
+        size = np.diff(np.append(begin, len(y)))
+        nth = np.arange(len(y)) - np.repeat(begin, size)
+        left = np.repeat(np.logical_or.reduceat(more, begin) | (size > k), size)
+        fine = nth < k
+        return y[fine], x[fine], score[fine], left[fine]
+
+    at = 0
+    ends = np.cumsum(count)
+    while at < len(later):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        y = np.repeat(later[at:to], count[at:to])
+        x = np.repeat(lo[at:to], count[at:to]) + np.arange(len(y)) - np.repeat(np.cumsum(count[at:to]) - count[at:to], count[at:to])
+        at = to
+        fine = np.minimum(n[x] - place[x], n[y] - place[y]) * (100 + percent) >= percent * (n[x] + n[y])
+        x, y = x[fine], y[fine]
+        fine = (rank[x] < rank[y]) & ((keys["role"][x] & EARLIER) > 0)
+        x, y = x[fine], y[fine]
+        total = n[x] + n[y]
+        apart = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
+        fine = ((total - apart) // 2) * (100 + percent) >= percent * total
+        x, y, score = x[fine], y[fine], apart[fine] / total[fine]
+        best = pruned(*(np.concatenate(p) for p in zip(best, (y, x, score, np.zeros(len(y), bool)), strict=True)))
+    y, x, _, more = best
+    return tuple(keys[c][r] for r in (y, x) for c in ("id", "line", "set_a")) + (more,)
+
+
+PAIR = ["y_id", "y_line", "y_set", "x_id", "x_line", "x_set"]
+
+
+def candidates(parts: DataFrame, percent: int, k: int) -> DataFrame:
+    """PAIR columns and more; a pair can come from several parts."""
+
+    def run(batches):
+        now, bodies = None, []
+
+        def out():
+            columns = best_candidates(unpacked(bodies), percent, k)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*PAIR, "more"])
 
-    return docs.select(KEY, text).mapInArrow(run, LINES)
+        for batch in batches:
+            for *at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != now:
+                    if bodies:
+                        yield out()
+                    now, bodies = at, []
+                bodies.append(body)
+        if bodies:
+            yield out()
 
+    dealt = parts.repartition("part", "cell").sortWithinPartitions("part", "cell")
+    return dealt.mapInArrow(run, "y_id long, y_line int, y_set long, x_id long, x_line int, x_set long, more boolean")
 
-def allowed(percent: int) -> Column:
-    """Length and positional filters for columns n, pos (0-based) of x_ and y_, which share the word there."""
-    small, large = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / F.lit(100 + percent))
-    most = 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
-    return (100 * small >= percent * large) & (most >= need)
 
+def place_bucket(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    return (vec.mix(ids.astype(np.int64).view(np.uint64) * np.uint64(vec.BASE) + lines.astype(np.uint64)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
-EARLIER = "(x_key < y_key or (x_key = y_key and x_line < y_line))"
-PAIR = ["x_key", "x_line", "y_key", "y_line"]
 
+def bodies_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, line, set_a, body) of the wanted (id, line), and of few others.
 
-def _side(df: DataFrame, s: str) -> DataFrame:
-    return df.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "line", "n", "pos")])
+    The wanted places are a bitmap of fixed size, so the texts are read where they are and only those lines move.
+    """
 
+    def buckets(batches):
+        for batch in batches:
+            yield place_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The later lines (key, line) of pairs that are similar enough."""
+    asked_ = shared(np.packbits(merged_counts(wanted.select("id", "line"), buckets) > 0))
 
     def run(batches):
+        asked = np.unpackbits(np.frombuffer(zlib.decompress(asked_), np.uint8))
+        rarity = np.zeros(1 << BUCKET_BITS, np.uint8)  # any order will do for the hash of a set
         for batch in batches:
-            fine = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = set(a.encode().split()), set(b.encode().split())
-                both = len(x & y)
-                fine.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["key", "line"]).filter(pa.array(fine, pa.bool_()))
-
-    side = lambda s: texts.select(F.col("key").alias(f"{s}_key"), F.col("line").alias(f"{s}_line"), F.col("body").alias(f"{s}_body"))
-    both = pairs.join(side("y"), ["y_key", "y_line"]).join(side("x"), ["x_key", "x_line"])
-    return both.select("y_key", "y_line", "x_body", "y_body").mapInArrow(run, "key long, line int").distinct()
+            for row, data, offsets in vec.pieces(batch.column(1)):
+                ids = batch.column(0).slice(row, len(offsets) - 1).to_numpy(zero_copy_only=False)
+                breaks = np.flatnonzero(data == 10)
+                start = np.concatenate([offsets[:-1], breaks + 1])
+                end = np.concatenate([breaks, offsets[1:]])
+                start.sort()
+                end.sort()
+                count = 1 + np.diff(np.searchsorted(breaks, offsets))
+                text = np.repeat(np.arange(len(ids)), count)
+                number = np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
+                fine = np.flatnonzero((end > start) & (asked[place_bucket(ids[text], number)] > 0))
+                if not len(fine):
+                    continue
+                raw = data.tobytes()
+                lines = [raw[a:b] for a, b in zip(start[fine], end[fine], strict=True)]
+                some = pa.array(lines, pa.large_binary()).view(pa.large_string())
+                edges = np.append(0, np.cumsum(end[fine] - start[fine]))
+                sets = Sets(np.frombuffer(b"".join(lines), np.uint8), edges, rarity)
+                own = fine[sets.text]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[text[own]]), pa.array(number[own], pa.int32()), pa.array(sets.hashes(0x51)), some.take(pa.array(sets.text)).cast(pa.string())], ["id", "line", "set_a", "body"]
+                )
 
+    return docs.select("id", "text").mapInArrow(run, "id long, line int, set_a long, body string")
 
-def _line_texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(key, line, body) of the wanted (key, line)."""
-    asked = wanted.groupBy(F.col("key").alias("asked_key")).agg(F.collect_set("line").alias("lines"))
-    found = docs.join(asked, F.col(KEY) == F.col("asked_key")).select(F.col(KEY).alias("key"), F.split(text, "\n", -1).alias("bodies"), "lines")
-    return found.select("key", F.explode(F.transform("lines", lambda i: F.struct(i.alias("line"), F.get("bodies", i).alias("body")))).alias("x")).select("key", "x.*").where("body is not null")
 
+def verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """The later lines (id, line, set_a) of the pairs that are similar enough, by their words."""
 
-def repeated_lines(docs: DataFrame, text: str, percent: int) -> DataFrame:
-    """(key, line): the lines that go. docs has KEY."""
-    store = Store(docs.sparkSession, "line-dedup", frugal=True)
-    lines = store.write(line_sets(docs, text, word_classes(docs, text), percent), "lines")
-    firsts = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("key", "line")).alias("first"))
-    joined = lines.join(firsts, ["set_a", "set_b"])
-    is_first = (F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line"))
-    leaders = store.write(joined.where(is_first & (F.size("prefix") > 0)).select("key", "line", "n", "prefix"), "representatives")
-    copies = lines.drop("prefix").join(firsts, ["set_a", "set_b"]).select("key", "line", F.col("first.key").alias("first_key"), F.col("first.line").alias("first_line"))
-    copies = store.write(copies, "classes")
-    store.drop("lines")
-
-    words = leaders.select("key", "line", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = words.groupBy("token").agg(F.min("key").alias("lead"), F.count("*").alias("times")).where("times > 1").drop("times")
-    shared = store.write(words.join(shared, "token"), "shared")
-    store.drop("representatives")
-
-    lead = _side(shared.where("key = lead"), "x")
-    star = lead.join(_side(shared, "y"), "token").where(EARLIER).where(allowed(percent)).select(*PAIR).distinct()
-    star = store.write(star, "star")
-    x, y = (star.select(F.col(f"{s}_key").alias("key"), F.col(f"{s}_line").alias("line")) for s in "xy")
-    texts = store.write(_line_texts(docs, x.unionByName(y).distinct(), text), "star-texts")
-    gone = store.write(_verified(star, texts, percent), "gone-star")
-
-    open_ = _side(shared.where("key <> lead").join(gone, ["key", "line"], "left_anti"), "y")
-    rest = open_.join(_side(shared.where("key <> lead"), "x"), "token").where(EARLIER).where(allowed(percent)).select(*PAIR).distinct()
-    rest = store.write(rest.join(star, PAIR, "left_anti"), "rest")
-    if not rest.isEmpty():
-        x, y = (rest.select(F.col(f"{s}_key").alias("key"), F.col(f"{s}_line").alias("line")) for s in "xy")
-        texts = store.write(_line_texts(docs, x.unionByName(y).distinct(), text), "rest-texts")
-        gone = gone.unionByName(_verified(rest, texts, percent)).distinct()
-
-    # A line goes if its class has an earlier line, or if its class's first line goes.
-    first_gone = gone.select(F.col("key").alias("first_key"), F.col("line").alias("first_line"), F.lit(True).alias("first_goes"))
-    ended = copies.join(first_gone, ["first_key", "first_line"], "left")
-    later = (F.col("key") != F.col("first_key")) | (F.col("line") != F.col("first_line"))
-    gone = store.write(ended.where(later | F.coalesce("first_goes", F.lit(False))).select("key", "line").distinct(), "gone")
-    for name in ("classes", "shared", "star", "star-texts", "rest", "rest-texts"):
-        store.drop(name)
-    return gone
+    def run(batches):
+        for batch in batches:
+            fine = []
+            for i in range(batch.num_rows):
+                x, y = (set(batch.column(c)[i].as_py().encode().split()) for c in (3, 4))
+                both = len(x & y)
+                fine.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)], ["id", "line", "set_a"]).filter(pa.array(fine, pa.bool_()))
+
+    places = ["id", "line", "set_a"]
+    bodies = bodies.dropDuplicates(places)
+    side = lambda s: bodies.select(*[F.col(c).alias(f"{s}_{'set' if c == 'set_a' else c}") for c in places], F.col("body").alias(f"{s}_body"))
+    both = pairs.select(*PAIR).join(side("y"), ["y_id", "y_line", "y_set"]).join(side("x"), ["x_id", "x_line", "x_set"])
+    return both.select("y_id", "y_line", "y_set", "x_body", "y_body").mapInArrow(run, "id long, line int, set_a long").distinct()
+
+
+def kept_lines(docs: DataFrame, percent: int, store: Store) -> DataFrame:
+    """(id, hash, line): of the lines that have words, those that stay. docs has id, hash and text."""
+    spark = docs.sparkSession
+    lines = line_sets(docs, word_classes(docs, "text"), percent)
+    first = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "line", "hash", "n", "bits", "keys", "places", "cells", "n_keys", "wide")).alias("first"))
+    lines = store.write(first.select("set_a", "first.*"), "classes")
+    keyed = lines.where("n_keys > 0")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (keyed.agg(F.sum("n_keys")).first()[0] or 0) // PART_KEYS)
+    place = ["id", "line", "set_a"]
+    gone = tested = open_ = None
+    k, step = FIRST_K, 0
+    while True:
+        if open_ is None:
+            asked, roles = None, keyed.withColumn("role", F.lit(EARLIER | LATER))
+        else:
+
+            def buckets(batches):
+                for batch in batches:
+                    yield (np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
+
+            asking = store.write(keyed.join(open_, place, "left_semi"), f"asking-{step}")
+            asked = shared(merged_counts(asking.select("keys"), buckets))
+            roles = keyed.withColumn("role", F.lit(EARLIER)).unionByName(asking.withColumn("role", F.lit(LATER)))
+        found = store.write(candidates(packed_parts(roles.drop("set_b", "hash"), parts, asked), percent, k), f"found-{step}")
+        pairs = found.select(*PAIR).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, PAIR, "left_anti")
+        pairs = store.write(pairs, f"pairs-{step}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        ends = [pairs.select(*[F.col(f"{s}_{c}").alias(c) for c in ("id", "line")]) for s in "xy"]
+        fine = store.write(verified(pairs, bodies_of(docs, ends[0].unionByName(ends[1]).distinct()), percent), f"gone-{step}")
+        gone = fine if gone is None else gone.unionByName(fine)
+        more = found.where("more").select(*[F.col(f"y_{c}").alias(d) for c, d in zip(("id", "line", "set"), place, strict=True)])
+        if open_ is None:
+            more = more.unionByName(keyed.where("wide").select(*place))
+        open_ = store.write(more.distinct().join(gone, place, "left_anti"), f"open-{step}")
+        if open_.isEmpty():
+            break
+        k, step = k * MORE_K, step + 1
+    return lines.select("id", "hash", "line", "set_a").join(gone, place, "left_anti").select("id", "hash", "line")
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, column: str = "lines") -> DataFrame:
     """docs with ``text`` cut to the lines that stay, and ``column``: struct(n_lines, n_removed)."""
-    if column in docs.columns:
-        raise ValueError(f"the input already has a column {column!r}")
-    docs = docs.withColumn(KEY, F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))))
-    gone = repeated_lines(docs, text, percent).groupBy(F.col("key").alias("gone_key")).agg(F.collect_list("line").alias("gone"))
-    joined = docs.join(gone, F.col(KEY) == F.col("gone_key"), "left").drop(KEY, "gone_key")
-    at, gone_at = joined.columns.index(text), joined.columns.index("gone")
-    fields = [f for f in joined.schema.fields if f.name != "gone"]
+    refuse(docs, column)
+    store = Store(docs.sparkSession, "line-dedup", frugal=True)
+    key, hash_ = F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.col(text))
+    plain = docs.select(key.alias("id"), hash_.alias("hash"), F.col(text).cast("string").alias("text"))
+    kept = kept_lines(plain, percent, store).groupBy("id", "hash").agg(F.collect_list("line").alias("stay"))
+    kept = store.write(kept, "kept")
+    store.close("kept")
+    id_, hash_name, stay, kept_id, kept_hash = fresh(docs, "id", "hash", "stay", "kept_id", "kept_hash")
+    asked = kept.select(F.col("id").alias(kept_id), F.col("hash").alias(kept_hash), F.col("stay").alias(stay))
+    left = docs.withColumns({id_: key, hash_name: hash_})
+    joined = left.join(asked, (F.col(id_) == F.col(kept_id)) & (F.col(hash_name) == F.col(kept_hash)), "left").drop(id_, hash_name, kept_id, kept_hash)
+    at, stay_at = joined.columns.index(text), joined.columns.index(stay)
+    fields = [f for f in joined.schema.fields if f.name != stay]
     keep = [joined.columns.index(f.name) for f in fields]
     kind = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            bodies, counts = [], []
-            for body, lines in zip(batch.column(at).to_pylist(), batch.column(gone_at).to_pylist(), strict=True):
-                parts = [] if body is None else body.split("\n")
-                if lines:
-                    out = set(lines)
-                    left = [x for i, x in enumerate(parts) if i not in out]
-                    body = "\n".join(left)
-                    counts.append({"n_lines": len(parts), "n_removed": len(parts) - len(left)})
-                else:
-                    counts.append({"n_lines": len(parts), "n_removed": 0})
-                bodies.append(body)
-            columns = [pa.array(bodies, pa.string()) if k == at else batch.column(k) for k in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.struct([("n_lines", pa.int64()), ("n_removed", pa.int64())]))], [*(f.name for f in fields), column])
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                bodies, n_lines, n_removed = [], [], []
+                for body, lines in zip(part.column(at).to_pylist(), part.column(stay_at).to_pylist(), strict=True):
+                    parts = [] if body is None else body.split("\n")
+                    staying = set(lines or ())
+                    left = [x for k, x in enumerate(parts) if k in staying or not x.encode().split()]
+                    bodies.append(None if body is None else "\n".join(left))
+                    n_lines.append(len(parts))
+                    n_removed.append(len(parts) - len(left))
+                columns = [pa.array(bodies, pa.string()) if k == at else part.column(k) for k in keep]
+                counts = pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], ["n_lines", "n_removed"])
+                yield pa.RecordBatch.from_arrays([*columns, counts], [*(f.name for f in fields), column])
 
     return joined.mapInArrow(run, T.StructType([*fields, T.StructField(column, kind)]))
