@@ -40,10 +40,10 @@ from . import vec
 from .store import Store, fresh, refuse
 
 BUCKET_BITS, CHUNK = 22, 1 << 16
-HOT_CLASS, CELL_BITS = 17, 14
+HOT_CLASS, CELL_BITS = 16, 18
 #: Keys of one part, and pairs that are held as arrays at once.
 PART_KEYS, PAIRS = 200_000, 2 << 20
-FIRST_K, MORE_K = 1, 8
+FIRST_K, MORE_K = 2, 16
 
 
 def merged_counts(df: DataFrame, buckets_of: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
@@ -54,8 +54,14 @@ def merged_counts(df: DataFrame, buckets_of: Callable[[Iterable[pa.RecordBatch]]
 
     def count(batches):
         total = np.zeros(1 << BUCKET_BITS, np.uint32)
+        held: list[np.ndarray] = []
         for at in buckets_of(batches):
-            total += np.bincount(at, minlength=len(total)).astype(np.uint32)
+            held.append(at.astype(np.int32))
+            if sum(map(len, held)) >= 1 << BUCKET_BITS:
+                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+                held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
         rows = [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(total.reshape(-1, CHUNK)) if c.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], ["chunk", "counts"])
 
@@ -97,26 +103,29 @@ class Sets:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray):
         words = vec.Words(data, offsets, vec.WHITE)
         h, texts = words.hashes(), words.text_of
-        breaks = np.flatnonzero(data == 10)
-        before = np.searchsorted(breaks, words.start)
+        breaks = np.append(0, np.cumsum(data == 10, dtype=np.int32))  # before each byte
+        before = breaks[words.start]
         line = np.cumsum(np.diff(before + texts, prepend=-1) != 0) - 1
         first_word = np.flatnonzero(np.diff(line, prepend=-1))
         self.text = texts[first_word]
-        self.number = before[first_word] - np.searchsorted(breaks, offsets[self.text])
+        self.number = before[first_word] - breaks[offsets[self.text]]
+        del breaks
         kind = rarity[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
         low = h & np.uint64((1 << 38) - 1)
         packed = (line.astype(np.uint64) << np.uint64(44)) | (kind.astype(np.uint64) << np.uint64(38)) | low
         order = np.argsort(packed) if len(line) and line[-1] < 1 << 20 else None
+        new = np.ones(len(h), bool)
         if order is not None:
-            same = packed[order]
-            same = same[1:] == same[:-1]
-            if (h[order[1:]] != h[order[:-1]])[same].any():  # two words of a line agree in the packed bits
+            packed, h_ = packed[order], h[order]
+            new[1:] = packed[1:] != packed[:-1]
+            if (h_[1:] != h_[:-1])[~new[1:]].any():  # two words of a line agree in the packed bits
                 order = None
+            else:
+                h, line, kind = h_, (packed >> np.uint64(44)).astype(np.int64), ((packed >> np.uint64(38)) & np.uint64(63)).astype(np.uint8)
         if order is None:
             order = np.lexsort((h, low, kind, line))
-        h, line, kind = h[order], line[order], kind[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+            h, line, kind = h[order], line[order], kind[order]
+            new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
         self.h, self.line, self.kind = h[new], line[new], kind[new]
         self.begin = np.flatnonzero(np.diff(self.line, prepend=-1))
         self.n = np.diff(np.append(self.begin, len(self.h)))
@@ -124,8 +133,13 @@ class Sets:
     def hashes(self, salt: int) -> np.ndarray:
         return np.add.reduceat(vec.mix(self.h ^ np.uint64(salt)), self.begin).view(np.int64) if len(self.begin) else np.zeros(0, np.int64)
 
-    def bits(self) -> np.ndarray:
-        return np.bitwise_xor.reduceat(np.uint64(1) << ((self.h >> np.uint64(32)) & np.uint64(63)), self.begin).view(np.int64)
+    def bits(self) -> list[np.ndarray]:
+        """The parity of the words in each of 128 classes, as two longs."""
+        if not len(self.begin):
+            return [np.zeros(0, np.int64)] * 2
+        one = np.uint64(1) << ((self.h >> np.uint64(32)) & np.uint64(63))
+        high = (self.h & (np.uint64(1) << np.uint64(31))).astype(bool)
+        return [np.bitwise_xor.reduceat(np.where(high == k, one, np.uint64(0)), self.begin).view(np.int64) for k in (False, True)]
 
     def keys(self, percent: int) -> tuple[np.ndarray, ...]:
         """(line, key, position, cells as a power of two) of the prefix words, and pairs of words for frequent ones."""
@@ -155,7 +169,7 @@ class Sets:
         return line[order], key[order], place[order].astype(np.uint32), cells[order]
 
 
-LINES = "id long, hash long, line int, set_a long, set_b long, n int, bits long, keys binary, places binary, cells binary, n_keys int, wide boolean"
+LINES = "id long, hash long, line int, set_a long, set_b long, n int, bits_a long, bits_b long, keys binary, places binary, cells binary, n_keys int, wide boolean"
 
 
 def cut_binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -178,21 +192,21 @@ def line_sets(docs: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
                 line, key, place, cells = sets.keys(percent)
                 count = np.bincount(line, minlength=len(sets.n))
                 wide = np.bincount(line, weights=cells, minlength=len(sets.n)) > 0
-                columns = [ids, hashes, sets.number.astype(np.int32), sets.hashes(0x51), sets.hashes(0xA7F3), sets.n.astype(np.int32), sets.bits()]
+                columns = [ids, hashes, sets.number.astype(np.int32), sets.hashes(0x51), sets.hashes(0xA7F3), sets.n.astype(np.int32), *sets.bits()]
                 columns = [*map(pa.array, columns), *(cut_binary(x, count) for x in (key, place, cells)), pa.array(count, pa.int32()), pa.array(wide)]
                 yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in LINES.split(", ")])
 
     return docs.select("id", "hash", "text").mapInArrow(run, LINES)
 
 
-#: Columns of packed keys.
-PACKED = [("key", np.uint32), ("id", np.int64), ("line", np.int32), ("set_a", np.int64), ("n", np.int32), ("place", np.uint32), ("bits", np.uint64), ("role", np.uint8)]
-WIDTH = sum(np.dtype(t).itemsize for _, t in PACKED)
+#: Columns of packed keys; sizes and places have two bytes where all of a body fit, else four.
+PACKED = [("key", 4), ("id", 8), ("line", 4), ("set_a", 8), ("bits_a", 8), ("bits_b", 8), ("n", 0), ("place", 0)]
+KINDS = {2: np.uint16, 4: np.uint32, 8: np.int64}
 EARLIER, LATER = 1, 2
 
 
 def packed_parts(lines: DataFrame, parts: int, wanted: bytes | None) -> DataFrame:
-    """(part, cell, body): the keys of lines (with their role) as packed arrays. wanted: only keys in these buckets."""
+    """(part, cell, role, size, body): the keys of lines (with their role) as packed arrays. wanted: only keys in these buckets."""
 
     def run(batches):
         asked = None if wanted is None else np.frombuffer(zlib.decompress(wanted), np.uint8)
@@ -201,11 +215,19 @@ def packed_parts(lines: DataFrame, parts: int, wanted: bytes | None) -> DataFram
 
         def out():
             one = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
-            order = np.lexsort((one["cell"], one["part"]))
+            order = np.lexsort((one["role"], one["cell"], one["part"]))
             one = {k: v[order] for k, v in one.items()}
-            edges = np.flatnonzero((np.diff(one["part"], prepend=-1) != 0) | (np.diff(one["cell"], prepend=-1) != 0))
-            bodies = [b"".join(one[k][a:b].tobytes() for k, _ in PACKED) for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(one["part"][edges], pa.int32()), pa.array(one["cell"][edges], pa.int32()), pa.array(bodies, pa.binary())], ["part", "cell", "body"])
+            new = np.zeros(len(order), bool)
+            for k in ("part", "cell", "role"):
+                new |= np.diff(one[k].astype(np.int64), prepend=-1) != 0
+            edges = np.flatnonzero(new)
+            size = np.where(np.maximum.reduceat(np.maximum(one["n"], one["place"]), edges) < 1 << 16, 2, 4)
+            bodies = [
+                b"".join(one[k][a:b].astype(KINDS[w or small], copy=False).tobytes() for k, w in PACKED)
+                for a, b, small in zip(edges, np.append(edges[1:], len(order)), size, strict=True)
+            ]
+            columns = [pa.array(one[k][edges], pa.int32()) for k in ("part", "cell", "role")]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(size, pa.int32()), pa.array(bodies, pa.binary())], ["part", "cell", "role", "size", "body"])
 
         for batch in batches:
             col = {k: batch.column(batch.schema.get_field_index(k)) for k in batch.schema.names}
@@ -218,7 +240,7 @@ def packed_parts(lines: DataFrame, parts: int, wanted: bytes | None) -> DataFram
                 own, key, place, cells = own[fine], key[fine], place[fine], cells[fine]
             if not len(key):
                 continue
-            one = {k: col[k].to_numpy(zero_copy_only=False)[own] for k in ("id", "line", "set_a", "n", "bits", "role")}
+            one = {k: col[k].to_numpy(zero_copy_only=False)[own] for k in ("id", "line", "set_a", "n", "bits_a", "bits_b", "role")}
             one |= {"key": key, "place": place, "part": (vec.mix(key) % np.uint64(parts)).astype(np.int32)}
             many = np.left_shift(1, cells.astype(np.int64))
             one["cell"] = (vec.mix(one["set_a"].view(np.uint64)) % many.astype(np.uint64)).astype(np.int32)
@@ -228,40 +250,35 @@ def packed_parts(lines: DataFrame, parts: int, wanted: bytes | None) -> DataFram
                 step = np.arange(len(again)) - np.repeat(np.cumsum(many[probe] - 1) - (many[probe] - 1), many[probe] - 1) + 1
                 cell = (one["cell"][again] + step) % many[again]
                 one = {k: np.concatenate([v, cell.astype(v.dtype) if k == "cell" else v[again]]) for k, v in one.items()}
-            one = {k: v.astype(dict(PACKED).get(k, v.dtype), copy=False) if k != "bits" else v.view(np.uint64) for k, v in one.items()}
             held.append(one)
             size += len(one["key"])
-            if size >= 1 << 19:
+            if size >= 1 << 18:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
-    return lines.mapInArrow(run, "part int, cell int, body binary")
+    return lines.mapInArrow(run, "part int, cell int, role int, size int, body binary")
 
 
-def unpacked(bodies: list[bytes]) -> dict[str, np.ndarray]:
-    found: dict[str, list[np.ndarray]] = {k: [] for k, _ in PACKED}
-    for body in bodies:
-        n, at = len(body) // WIDTH, 0
-        for k, kind in PACKED:
-            found[k].append(np.frombuffer(body, kind, n, at))
-            at += n * np.dtype(kind).itemsize
+def unpacked(rows: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
+    """The columns of rows (role, size, body)."""
+    found: dict[str, list[np.ndarray]] = {k: [] for k, _ in PACKED} | {"role": []}
+    for role, size, body in rows:
+        n, at = len(body) // sum(w or size for _, w in PACKED), 0
+        for k, w in PACKED:
+            found[k].append(np.frombuffer(body, KINDS[w or size], n, at))
+            at += n * (w or size)
+        found["role"].append(np.full(n, role, np.uint8))
     return {k: np.concatenate(v) for k, v in found.items()}
 
 
 def best_candidates(keys: dict[str, np.ndarray], percent: int, k: int) -> tuple[np.ndarray, ...]:
-    """(later row, earlier row, more): each later line's best k candidates of this part; more: it has others."""
-    order = np.lexsort((keys["n"], keys["key"]))
+    """(later line, earlier line, more): each later line's best k candidates of this part; more: it has others."""
+    order = np.argsort((keys["key"].astype(np.uint64) << np.uint64(32)) | keys["n"].astype(np.uint64))
     keys = {c: v[order] for c, v in keys.items()}
-    by_line = np.lexsort((keys["set_a"], keys["line"], keys["id"]))
-    new = np.ones(len(order), bool)
-    for c in ("id", "line", "set_a"):
-        new[1:] &= keys[c][by_line][1:] == keys[c][by_line][:-1]
-    new[1:] = ~new[1:]
-    rank = np.empty(len(order), np.int64)
-    rank[by_line] = np.cumsum(new)
-    n, place, bits = keys["n"].astype(np.int64), keys["place"].astype(np.int64), keys["bits"]
+    n, place = keys["n"].astype(np.int64), keys["place"].astype(np.int64)
+    id_, line, set_a = keys["id"], keys["line"].view(np.int32), keys["set_a"]
     group = (np.cumsum(np.diff(keys["key"].astype(np.int64), prepend=-1) != 0) << 32) | n
     later = np.flatnonzero(keys["role"] & LATER)
     lo = np.searchsorted(group, (group[later] & ~np.int64(0xFFFFFFFF)) | -(-percent * n[later] // 100))
@@ -275,15 +292,18 @@ def best_candidates(keys: dict[str, np.ndarray], percent: int, k: int) -> tuple[
     def pruned(y, x, score, more):
         if not len(y):
             return y, x, score, more
-        _, one = np.unique((rank[y] << 32) | rank[x], return_index=True)
-        y, x, score, more = y[one], x[one], score[one], more[one]
-        o = np.lexsort((rank[x], score, rank[y]))
+        o = np.lexsort((set_a[x], score, line[y], id_[y], set_a[y]))
         y, x, score, more = y[o], x[o], score[o], more[o]
-        begin = np.flatnonzero(np.diff(rank[y], prepend=-1))
-        size = np.diff(np.append(begin, len(y)))
-        nth = np.arange(len(y)) - np.repeat(begin, size)
-        left = np.repeat(np.logical_or.reduceat(more, begin) | (size > k), size)
-        fine = nth < k
+        other = (np.diff(set_a[y], prepend=set_a[y[:1]]) != 0) | (np.diff(id_[y], prepend=id_[y[:1]]) != 0) | (np.diff(line[y], prepend=line[y[:1]]) != 0)
+        other[0] = True
+        again = ~other & (np.diff(set_a[x], prepend=set_a[x[:1]]) == 0)  # a pair has one score, so its repeats stand together
+        begin = np.flatnonzero(other)
+        any_more = np.logical_or.reduceat(more, begin)
+        own = np.cumsum(other) - 1
+        fresh_ = np.cumsum(~again) - 1
+        nth = fresh_ - fresh_[begin][own]
+        left = any_more[own] | (np.maximum.reduceat(nth, begin) >= k)[own]
+        fine = ~again & (nth < k)
         return y[fine], x[fine], score[fine], left[fine]
 
     at = 0
@@ -295,15 +315,16 @@ def best_candidates(keys: dict[str, np.ndarray], percent: int, k: int) -> tuple[
         at = to
         fine = np.minimum(n[x] - place[x], n[y] - place[y]) * (100 + percent) >= percent * (n[x] + n[y])
         x, y = x[fine], y[fine]
-        fine = (rank[x] < rank[y]) & ((keys["role"][x] & EARLIER) > 0)
+        tie = (line[x] < line[y]) | ((line[x] == line[y]) & (set_a[x] < set_a[y]))
+        fine = ((id_[x] < id_[y]) | ((id_[x] == id_[y]) & tie)) & ((keys["role"][x] & EARLIER) > 0)
         x, y = x[fine], y[fine]
         total = n[x] + n[y]
-        apart = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
+        apart = sum(np.bitwise_count((keys[b][x] ^ keys[b][y]).view(np.uint64)).astype(np.int64) for b in ("bits_a", "bits_b"))
         fine = ((total - apart) // 2) * (100 + percent) >= percent * total
         x, y, score = x[fine], y[fine], apart[fine] / total[fine]
         best = pruned(*(np.concatenate(p) for p in zip(best, (y, x, score, np.zeros(len(y), bool)), strict=True)))
     y, x, _, more = best
-    return tuple(keys[c][r] for r in (y, x) for c in ("id", "line", "set_a")) + (more,)
+    return tuple(c[r] for r in (y, x) for c in (id_, line, set_a)) + (more,)
 
 
 PAIR = ["y_id", "y_line", "y_set", "x_id", "x_line", "x_set"]
@@ -320,12 +341,12 @@ def candidates(parts: DataFrame, percent: int, k: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*PAIR, "more"])
 
         for batch in batches:
-            for *at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *at, role, size, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != now:
                     if bodies:
                         yield out()
                     now, bodies = at, []
-                bodies.append(body)
+                bodies.append((role, size, body))
         if bodies:
             yield out()
 
@@ -384,12 +405,15 @@ def verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fine = []
-            for i in range(batch.num_rows):
-                x, y = (set(batch.column(c)[i].as_py().encode().split()) for c in (3, 4))
-                both = len(x & y)
-                fine.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)], ["id", "line", "set_a"]).filter(pa.array(fine, pa.bool_()))
+            for i in range(0, batch.num_rows, 1024):
+                part, fine = batch.slice(i, 1024), []
+                held: dict[str, set] = {}
+                for a, b in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                    x = held[a] if a in held else held.setdefault(a, set(a.encode().split()))
+                    y = held[b] if b in held else held.setdefault(b, set(b.encode().split()))
+                    both = len(x & y)
+                    fine.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(3)], ["id", "line", "set_a"]).filter(pa.array(fine, pa.bool_()))
 
     places = ["id", "line", "set_a"]
     bodies = bodies.dropDuplicates(places)
@@ -402,7 +426,7 @@ def kept_lines(docs: DataFrame, percent: int, store: Store) -> DataFrame:
     """(id, hash, line): of the lines that have words, those that stay. docs has id, hash and text."""
     spark = docs.sparkSession
     lines = line_sets(docs, word_classes(docs, "text"), percent)
-    first = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "line", "hash", "n", "bits", "keys", "places", "cells", "n_keys", "wide")).alias("first"))
+    first = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "line", "hash", "n", "bits_a", "bits_b", "keys", "places", "cells", "n_keys", "wide")).alias("first"))
     lines = store.write(first.select("set_a", "first.*"), "classes")
     keyed = lines.where("n_keys > 0")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (keyed.agg(F.sum("n_keys")).first()[0] or 0) // PART_KEYS)
