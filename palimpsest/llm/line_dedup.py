@@ -429,7 +429,8 @@ def kept_lines(docs: DataFrame, percent: int, store: Store) -> DataFrame:
     first = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "line", "hash", "n", "bits_a", "bits_b", "keys", "places", "cells", "n_keys", "wide")).alias("first"))
     lines = store.write(first.select("set_a", "first.*"), "classes")
     keyed = lines.where("n_keys > 0")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (keyed.agg(F.sum("n_keys")).first()[0] or 0) // PART_KEYS)
+    n_lines, n_keys = keyed.agg(F.count("*"), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys // PART_KEYS)
     place = ["id", "line", "set_a"]
     gone = tested = open_ = None
     k, step = FIRST_K, 0
@@ -458,9 +459,11 @@ def kept_lines(docs: DataFrame, percent: int, store: Store) -> DataFrame:
         if open_ is None:
             more = more.unionByName(keyed.where("wide").select(*place))
         open_ = store.write(more.distinct().join(gone, place, "left_anti"), f"open-{step}")
-        if open_.isEmpty():
+        n_open = open_.count()
+        if not n_open:
             break
-        k, step = k * MORE_K, step + 1
+        # Few open lines may propose many each: their proposals stay within the number of lines.
+        k, step = max(k * MORE_K, n_lines // n_open), step + 1
     return lines.select("id", "hash", "line", "set_a").join(gone, place, "left_anti").select("id", "hash", "line")
 
 
