@@ -6,16 +6,18 @@ Empty buckets borrow a value from others by a fixed pseudo-random order before b
 registers of a band are candidates. The candidates' Jaccard similarity is estimated from the registers, less the
 share of equal registers that chance alone gives, and what may reach the threshold is verified on the full sets.
 
-Classes first: documents with equal sets are one class, represented by its smallest id. Bucket members are compared
-with a leader (linear in the bucket's size), linked parts become one component, and only buckets that still hold
-several components are looked at again: with their other leaders, then in tiles of bounded size, where a task compares
-sketches of one byte for each register across components. First each member outside the tile's largest component
-proposes its two nearest, which settles most; what then still stands apart proposes all that may reach the threshold,
-each pair in the first band whose full key it shares, which is the first bucket where it meets. So no pair that could join two components is left untested, and a large
-group of copies never meets pair by pair.
+Documents with equal sets are one class (an entry, named by the hash of its set). Entries of a band bucket are grouped
+under the bucket's least entry, its leader; buckets with the same leader are one group, so a member of many buckets of
+a family stands in few groups. Members are compared with a leader (linear in the group's size) and linked parts become one
+component. Only groups that still hold several components are looked at again, in tiles of bounded size: members
+outside the group's largest component are counted against the tile's members through an index of all their shingles,
+which gives the exact similarity of every pair at once and so needs no estimate. A tile returns one link for each two
+components that it joins, not the pairs. So every pair that shares a band and could join two components is tested
+exactly, and what a group of copies makes is linear in its size.
 
 Cases: null or empty texts have the empty set and are linked with nothing. A null id can't be linked: its row is
-returned with a null component and kept. Rows that repeat an id are one vertex, and each row is returned.
+returned with a null component and kept. Rows that repeat an id are one vertex, whatever their texts: what is linked
+with any of them is linked with all. Each row is returned.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,7 +42,8 @@ TRIES = 64
 #: An estimate this far below the threshold still goes to verification: over four standard errors of 512 registers, and
 #: more of a small set's, whose registers hold nearly all of it.
 MARGIN = 0.08
-TILE = 4096
+#: Shingles on either side of a tile, about.
+TILE = 1 << 20
 
 
 def shingle_hashes(words: vec.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,18 +109,6 @@ def chance(a: int, b: int) -> float:
     return float((pa_ * pb).sum() / (1 - np.exp(-na - nb)))
 
 
-def short_sketch(regs: np.ndarray) -> np.ndarray:
-    """One byte for each register: 0 if empty, else 1 to 255 from its mantissa."""
-    return np.where(regs == EMPTY, 0, regs % 255 + 1).astype(np.uint8)
-
-
-def short_estimate(x: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of one short sketch to each of others, corrected for equal bytes by chance."""
-    both = np.count_nonzero((others == x) & (x != 0), 1)
-    share = both / np.maximum(1, np.count_nonzero((others != 0) | (x != 0), 1))
-    return (share - 1 / 255) / (1 - 1 / 255)
-
-
 def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
     """Jaccard similarity of rows of registers, corrected for collisions."""
     empty = (x == EMPTY) & (y == EMPTY)
@@ -129,37 +119,44 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np
 
 
 SKETCH = T.StructType(
-    [T.StructField("id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_hash", T.BinaryType())]
+    [T.StructField("id", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("entry", T.LongType())]
     + [T.StructField("registers", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False))]
 )
 
 
+def piece_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    texts, hashes = shingle_hashes(vec.Words(data, offsets, vec.WHITE, vec.ASCII_LOWER), size)
+    order = np.lexsort((hashes, texts))
+    texts, hashes = texts[order], hashes[order]
+    new = np.ones(len(texts), bool)
+    new[1:] = (texts[1:] != texts[:-1]) | (hashes[1:] != hashes[:-1])
+    texts, hashes = texts[new], hashes[new]
+    cuts = np.searchsorted(texts, np.arange(len(offsets)))
+    return [hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """docs (id, text) -> id, n_shingles, set_hash, registers, bands (null for empty sets)."""
+    """docs (id, hash, text) -> id, hash, n_shingles, entry, registers, bands (the last three null for empty sets)."""
 
     def run(batches):
         for batch in batches:
-            for row, data, offsets in vec.pieces(batch.column(1)):
-                words = vec.Words(data, offsets, vec.WHITE, vec.ASCII_LOWER)
-                texts, hashes = shingle_hashes(words, size)
-                order = np.lexsort((hashes, texts))
-                texts, hashes = texts[order], hashes[order]
-                new = np.ones(len(texts), bool)
-                new[1:] = (texts[1:] != texts[:-1]) | (hashes[1:] != hashes[:-1])
-                texts, hashes = texts[new], hashes[new]
-                n = len(offsets) - 1
-                cuts = np.searchsorted(texts, np.arange(n + 1))
-                sets = [hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            for row, data, offsets in vec.pieces(batch.column(2)):
+                sets = piece_sets(data, offsets, size)
+                n = len(sets)
                 regs = np.stack([registers(s) for s in sets])
-                some = np.diff(cuts) > 0
+                count = np.array([len(s) for s in sets])
+                some = count > 0
                 keys = np.zeros((n, BANDS), np.int64)
                 if some.any():
                     keys[some] = band_keys(filled(regs[some])).view(np.int64)
+                entry = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, n).cast(pa.int64()),
-                        pa.array(np.diff(cuts), pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                        batch.column(1).slice(row, n),
+                        pa.array(count, pa.int64()),
+                        pa.array(entry, mask=~some),
                         pa.array([r.tobytes() if k else None for r, k in zip(regs, some, strict=True)], pa.binary()),
                         pa.array([k if s else None for k, s in zip(keys, some, strict=True)], pa.list_(pa.int64())),
                     ],
@@ -187,7 +184,7 @@ def _promising(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
                 fine = estimate(x, y, *(batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))) >= least
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine))
 
-    side = lambda k: sketches.select(F.col("id").alias(k), F.col("registers").alias(f"r_{k}"), F.col("n_shingles").alias(f"n_{k}"))
+    side = lambda k: sketches.select(F.col("entry").alias(k), F.col("registers").alias(f"r_{k}"), F.col("n_shingles").alias(f"n_{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, PAIR)
 
 
@@ -211,144 +208,163 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 fine.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"t_{k}"))
+    side = lambda k: texts.select(F.col("entry").alias(k), F.col("text").alias(f"t_{k}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(run, PAIR)
 
 
-def _tile_pairs(rows: list[tuple], band: int, least: float, nearest: int | None) -> tuple[list, list]:
-    """Pairs (a, b) of one tile's rows (id, component, sketch, block) across components; the sketch is short for the
-    nearest, else the registers, whose band keys are those of the buckets."""
-    ids, parts, held, block = zip(*rows, strict=True)
-    ids, block = np.array(ids), np.array(block)
-    _, parts, sizes = np.unique(np.array(parts), return_inverse=True, return_counts=True)
-    if len(sizes) < 2:
-        return [], []
-    held = np.frombuffer(b"".join(held), np.uint8 if nearest else np.uint16).reshape(len(ids), BUCKETS)
-    short = held if nearest else short_sketch(held)
-    bands = None if nearest else band_keys(filled(held))[:, :band]
-    main, two_blocks = sizes.argmax(), block.min() != block.max()
-    out_a, out_b = [], []
-    for k in np.flatnonzero(parts != main):
-        far = parts != parts[k]
-        if two_blocks:  # pairs inside a block are its own tile's
-            far &= block != block[k]
-        if not nearest:  # of two members outside the main component the first meets the other
-            far &= (parts == main) | (np.arange(len(ids)) > k)
-        far = np.flatnonzero(far)
-        near = short_estimate(short[k], short[far])
-        far, near = far[near >= least], near[near >= least]
-        if nearest:
-            far = far[np.argsort(-near, kind="stable")[:nearest]]
-        elif len(far):
-            far = far[~(bands[far] == bands[k]).any(1)]
-        out_a.append(np.minimum(ids[far], ids[k]))
-        out_b.append(np.maximum(ids[far], ids[k]))
-    return out_a, out_b
-
-
-def _tiles(buckets: DataFrame, least: float, nearest: int | None) -> DataFrame:
-    """Promising pairs of members of a bucket (key, band, id, component, and short or registers) in different components, TILE x TILE at a time."""
-    held = "short" if nearest else "registers"
-    sized = buckets.join(buckets.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n")), "key")
-    # Block b stands in the tiles (b, 0) .. (b, b) .. (n - 1, b), so that each two blocks meet in one tile.
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    placed = sized.select("key", "band", "id", "component", held, F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"), other.alias("other"))
-    placed = placed.select("key", "band", "id", "component", held, "block", F.greatest("block", "other").alias("i"), F.least("block", "other").alias("j"))
-    placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """texts (entry, text) -> (entry, shingles): the sorted hashes of the full set."""
 
     def run(batches):
-        tile, rows = None, []
+        for batch in batches:
+            for row, data, offsets in vec.pieces(batch.column(1)):
+                sets = piece_sets(data, offsets, size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["entry", "shingles"])
+
+    return texts.select("entry", "text").mapInArrow(run, "entry long, shingles binary")
+
+
+def tile_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of rows (probe, entry, component, shingles): probes against all others."""
+    targets = [r for r in rows if not r[0]]
+    probes = [r for r in rows if r[0]]
+    if not targets or not probes:
+        return []
+    sets = [np.frombuffer(r[3], np.uint64) for r in targets]
+    sizes = np.array([len(x) for x in sets])
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(hashes)
+    hashes, owner = hashes[order], owner[order]
+    part = np.array([r[2] for r in targets])
+    now: dict[int, int] = {}  # a component of a probe that has become part of another
+
+    def root(x: int) -> int:
+        while x in now:
+            x = now[x]
+        return x
+
+    links = []
+    for _, entry, component, shingles in probes:
+        mine = root(component)
+        if (part == mine).all():
+            continue
+        own = np.frombuffer(shingles, np.uint64)
+        lo, hi = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
+        count = hi - lo
+        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(owner[at], minlength=len(sizes))
+        near = np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (part != mine))
+        for other, first in zip(*np.unique(part[near], return_index=True), strict=True):
+            links.append((entry, targets[near[first]][1]))
+            part[part == other] = mine
+            now[int(other)] = mine
+    return links
+
+
+def tiles(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join components within groups. members: lead, entry, component, of groups with several components."""
+    sized = members.join(sizes, "entry")
+    parts = sized.groupBy("lead", "component").agg(F.count("*").alias("times"), F.sum("n_shingles").alias("held"))
+    largest = F.max_by(F.struct("component", "held"), F.struct("times", "component"))
+    groups = parts.groupBy("lead").agg(largest.alias("main"), F.sum("held").alias("held"))
+    blocks = lambda n: F.greatest(F.ceil(n / TILE), F.lit(1)).cast("int")
+    groups = groups.select("lead", F.col("main.component").alias("main"), blocks(F.col("held")).alias("n"), blocks(F.col("held") - F.col("main.held")).alias("m"))
+    at = members.join(groups, "lead")
+    own = lambda n, salt: F.pmod(F.xxhash64("entry", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # Each member is in one block, for every batch of probes; each probe is in one batch, for every block.
+    targets = at.select("lead", own("n", 1).alias("i"), every("m").alias("j"), F.lit(False).alias("probe"), "entry", "component")
+    probes = at.where("component <> main").select("lead", every("n").alias("i"), own("m", 2).alias("j"), F.lit(True).alias("probe"), "entry", "component")
+    placed = targets.unionByName(probes).join(sets, "entry").select("lead", "i", "j", "probe", "entry", "component", "shingles")
+    placed = placed.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+
+    def run(batches):
+        now, rows = None, []
 
         def out():
-            a, b = _tile_pairs(rows, tile[3], least, nearest) if len(rows) > 1 else ([], [])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            links = tile_links(rows, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for *head, a, b, c, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if head != tile:
-                    yield from out()
-                    tile, rows = head, []
-                rows.append((a, b, c, d))
-        yield from out()
+            for i in range(0, batch.num_rows, 64):
+                for *tile, probe, entry, component, shingles in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns), strict=True):
+                    if tile != now:
+                        if rows:
+                            yield out()
+                        now, rows = tile, []
+                    rows.append((probe, entry, component, shingles))
+        if rows:
+            yield out()
 
-    return placed.select("key", "i", "j", "band", "id", "component", held, "block").mapInArrow(run, PAIR).distinct()
+    return placed.mapInArrow(run, PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links), kept (id is it)."""
     store = Store(docs.sparkSession, "near-dup")
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    sketches = store.write(sketch(docs, shingle), "sketches")
-    known = sketches.where("set_hash is not null and id is not null")
-    classes = store.write(known.groupBy("set_hash").agg(F.min("id").alias("rep")), "classes")
-
-    banded = known.select("id", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    banded = banded.select("id", F.posexplode("bands").alias("band", "key"))
-    leaders = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last")
-    members = store.write(banded.join(leaders.drop("last"), "key"), "members")
-    near = store.write(docs.join(members.select("id").distinct(), "id").dropDuplicates(["id"]), "texts")
-    few = known.select("id", "n_shingles", "registers").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    few = store.write(few, "registers")
-    sets = store.write(sketches.select("id", "n_shingles", "set_hash"), "sets")
+    docs = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    sketches = store.write(sketch(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    known = sketches.where("entry is not null and id is not null")
+    classes = known.groupBy("entry").agg(F.min(F.struct("id", "row")).alias("head"))
+    classes = store.write(classes.select("entry", F.col("head.id").alias("rep"), F.col("head.row").alias("row")), "classes")
+
+    heads = known.join(classes.select("row"), "row", "left_semi")
+    banded = heads.select("entry", F.explode("bands").alias("key"))
+    leaders = banded.groupBy("key").agg(F.min("entry").alias("lead"), F.max("entry").alias("last")).where("lead <> last").drop("last")
+    members = store.write(banded.join(leaders, "key").select("lead", "entry").distinct(), "members")
+    grouped = members.select("entry").distinct()
+    few = store.write(heads.select("id", "hash", "entry", "n_shingles", "registers").join(grouped, "entry", "left_semi"), "registers")
+    # The one row of an entry is found again by its id and the hash of its text; rows repeated as a whole are one.
+    near = docs.join(few.select("id", "hash", "entry"), ["id", "hash"]).dropDuplicates(["id", "hash"]).select("entry", "text")
+    near = store.write(near, "texts")
+    sets = store.write(sketches.select("id", "n_shingles", "entry"), "sets")
+    # Rows of one id are one vertex.
+    several = sets.where("entry is not null and id is not null").groupBy("id").agg(F.min("entry").alias("a"), F.max("entry").alias("z")).where("a <> z").drop("z")
+    links = store.write(sets.join(several, "id").where("entry <> a").select("a", F.col("entry").alias("b")).distinct(), "links-id")
     store.drop("sketches")
     store.reclaim()
 
-    links = tested = None
-    labels = docs.sparkSession.createDataFrame([], "node long, component long")
+    linked = not links.isEmpty()
+    labels = components(links, "a", "b", store, "components-id") if linked else docs.sparkSession.createDataFrame([], "node long, component long")
 
     def now() -> DataFrame:
         """members with their present components."""
-        return members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    def mixed() -> DataFrame:
-        at = now()
-        return at.join(at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key"), "key")
+        return members.join(labels.withColumnRenamed("node", "entry"), "entry", "left").withColumn("component", F.coalesce("component", "entry"))
 
     def first_leader():
-        return members.where("id <> lead").groupBy("id").agg(F.min("lead").alias("a")).select("a", F.col("id").alias("b"))
-
-    def across(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, id, component of id) those whose a is in another component."""
-        lead = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        return pairs.join(lead, "a", "left").where("coalesce(ca, a) <> component").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        return members.where("entry <> lead").groupBy("entry").agg(F.min("lead").alias("a")).select("a", F.col("entry").alias("b"))
 
     def other_leaders():
-        return across(now().select(F.col("lead").alias("a"), "id", "component"))
-
-    @F.pandas_udf(T.BinaryType())
-    def short(registers_: pd.Series) -> pd.Series:
-        return registers_.map(lambda x: short_sketch(np.frombuffer(x, np.uint16)).tobytes())
+        lead = labels.select(F.col("node").alias("lead"), F.col("component").alias("other"))
+        pairs = now().join(lead, "lead", "left").where("coalesce(other, lead) <> component")
+        pairs = pairs.select(F.col("lead").alias("a"), F.col("entry").alias("b"))
+        return pairs.join(store.spark.read.schema(pairs.schema).parquet(store.path("pairs-0")), ["a", "b"], "left_anti")
 
-    def in_tiles(nearest):
-        store.reclaim()
-        sketched = few.select("id", short("registers").alias("short") if nearest else "registers")
-        return _tiles(mixed().select("key", "band", "id", "component").join(sketched, "id"), percent / 100 - MARGIN, nearest)
-
-    def nearest_two():
-        return in_tiles(2)
-
-    def the_rest():
-        return in_tiles(None)
+    def in_tiles():
+        at = now()
+        mixed = at.groupBy("lead").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("lead")
+        at = store.write(at.join(mixed, "lead", "left_semi"), "mixed")
+        shingles = store.write(full_sets(near.join(at.select("entry").distinct(), "entry", "left_semi"), shingle), "shingles")
+        return tiles(at, few.select("entry", "n_shingles"), shingles, percent)
 
-    for step, proposed in enumerate((first_leader, other_leaders, nearest_two, the_rest)):
-        pairs = proposed()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store.write(pairs, f"pairs-{step}")
+    for step, proposed in enumerate((first_leader, other_leaders, in_tiles)):
+        pairs = store.write(proposed(), f"pairs-{step}")
         if pairs.isEmpty():
             continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = store.write(_verified(_promising(pairs, few, percent / 100 - MARGIN), near, shingle, percent), f"links-{step}")
+        promising = pairs if proposed is in_tiles else _promising(pairs, few, percent / 100 - MARGIN)
+        found = store.write(_verified(promising, near, shingle, percent), f"links-{step}")
         if found.isEmpty():
             continue
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         labels = components(links, "a", "b", store, f"components-{step}")
+        store.reclaim()
 
-    rep = F.when(F.col("id").isNotNull(), F.coalesce(F.col("rep"), F.col("id")))
-    for name in ("members", "texts", "registers"):  # the result reads none of these
-        store.drop(name)
-    out = sets.join(classes, "set_hash", "left").withColumn("rep", rep)
-    out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep")
+    # A component's id is the smallest of all its rows' ids.
+    named = labels.withColumnRenamed("node", "entry").join(classes, "entry")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    least = labels.join(least, "component").select(F.col("node").alias("entry"), "least")
+    names = store.write(classes.select("entry", "rep").join(least, "entry", "left").select("entry", F.coalesce("least", "rep").alias("component_id")), "names")
+    store.close("names", "sets")
+    out = sets.join(names, "entry", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
