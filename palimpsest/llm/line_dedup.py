@@ -42,7 +42,7 @@ from .store import Store, fresh, refuse
 BUCKET_BITS, CHUNK = 22, 1 << 16
 HOT_CLASS, CELL_BITS = 16, 18
 #: Keys of one part, and pairs that are held as arrays at once.
-PART_KEYS, PAIRS = 200_000, 2 << 20
+PART_KEYS, PAIRS = 200_000, 1 << 19
 FIRST_K, MORE_K = 2, 16
 
 
@@ -57,7 +57,7 @@ def merged_counts(df: DataFrame, buckets_of: Callable[[Iterable[pa.RecordBatch]]
         held: list[np.ndarray] = []
         for at in buckets_of(batches):
             held.append(at.astype(np.int32))
-            if sum(map(len, held)) >= 1 << BUCKET_BITS:
+            if sum(map(len, held)) >= 1 << 20:
                 total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
                 held = []
         if held:
@@ -75,7 +75,7 @@ def merged_counts(df: DataFrame, buckets_of: Callable[[Iterable[pa.RecordBatch]]
             length = np.frexp(c.astype(np.float64))[1].astype(np.uint8)  # 0 for 0, else the bit length
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(length.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
-    rows = df.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()
+    rows = df.mapInArrow(vec.tidy(count), "chunk int, counts binary").repartition("chunk").mapInArrow(vec.tidy(add), "chunk int, counts binary").collect()
     out = np.zeros(1 << BUCKET_BITS, np.uint8)
     for r in rows:  # at most 2**BUCKET_BITS / CHUNK
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.uint8)
@@ -196,7 +196,7 @@ def line_sets(docs: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
                 columns = [*map(pa.array, columns), *(cut_binary(x, count) for x in (key, place, cells)), pa.array(count, pa.int32()), pa.array(wide)]
                 yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in LINES.split(", ")])
 
-    return docs.select("id", "hash", "text").mapInArrow(run, LINES)
+    return docs.select("id", "hash", "text").mapInArrow(vec.tidy(run), LINES)
 
 
 #: Columns of packed keys; sizes and places have two bytes where all of a body fit, else four.
@@ -258,7 +258,7 @@ def packed_parts(lines: DataFrame, parts: int, wanted: bytes | None) -> DataFram
         if held:
             yield out()
 
-    return lines.mapInArrow(run, "part int, cell int, role int, size int, body binary")
+    return lines.mapInArrow(vec.tidy(run), "part int, cell int, role int, size int, body binary")
 
 
 def unpacked(rows: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
@@ -351,7 +351,7 @@ def candidates(parts: DataFrame, percent: int, k: int) -> DataFrame:
             yield out()
 
     dealt = parts.repartition("part", "cell").sortWithinPartitions("part", "cell")
-    return dealt.mapInArrow(run, "y_id long, y_line int, y_set long, x_id long, x_line int, x_set long, more boolean")
+    return dealt.mapInArrow(vec.tidy(run), "y_id long, y_line int, y_set long, x_id long, x_line int, x_set long, more boolean")
 
 
 def place_bucket(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
@@ -397,11 +397,11 @@ def bodies_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [pa.array(ids[text[own]]), pa.array(number[own], pa.int32()), pa.array(sets.hashes(0x51)), some.take(pa.array(sets.text)).cast(pa.string())], ["id", "line", "set_a", "body"]
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, line int, set_a long, body string")
+    return docs.select("id", "text").mapInArrow(vec.tidy(run), "id long, line int, set_a long, body string")
 
 
 def verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """The later lines (id, line, set_a) of the pairs that are similar enough, by their words."""
+    """The later lines (id, line, set_a) of the pairs that are similar enough, by their words. bodies: one for each line."""
 
     def run(batches):
         for batch in batches:
@@ -416,10 +416,9 @@ def verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(3)], ["id", "line", "set_a"]).filter(pa.array(fine, pa.bool_()))
 
     places = ["id", "line", "set_a"]
-    bodies = bodies.dropDuplicates(places)
     side = lambda s: bodies.select(*[F.col(c).alias(f"{s}_{'set' if c == 'set_a' else c}") for c in places], F.col("body").alias(f"{s}_body"))
     both = pairs.select(*PAIR).join(side("y"), ["y_id", "y_line", "y_set"]).join(side("x"), ["x_id", "x_line", "x_set"])
-    return both.select("y_id", "y_line", "y_set", "x_body", "y_body").mapInArrow(run, "id long, line int, set_a long").distinct()
+    return both.select("y_id", "y_line", "y_set", "x_body", "y_body").mapInArrow(vec.tidy(run), "id long, line int, set_a long").distinct()
 
 
 def kept_lines(docs: DataFrame, percent: int, store: Store) -> DataFrame:
@@ -453,7 +452,10 @@ def kept_lines(docs: DataFrame, percent: int, store: Store) -> DataFrame:
         pairs = store.write(pairs, f"pairs-{step}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         ends = [pairs.select(*[F.col(f"{s}_{c}").alias(c) for c in ("id", "line")]) for s in "xy"]
-        fine = store.write(verified(pairs, bodies_of(docs, ends[0].unionByName(ends[1]).distinct()), percent), f"gone-{step}")
+        # Written, so that the joins on them have no aggregate below and a hot line can be split.
+        bodies = store.write(bodies_of(docs, ends[0].unionByName(ends[1]).distinct()).dropDuplicates(place), f"bodies-{step}")
+        fine = store.write(verified(pairs, bodies, percent), f"gone-{step}")
+        store.drop(f"bodies-{step}")
         gone = fine if gone is None else gone.unionByName(fine)
         more = found.where("more").select(*[F.col(f"y_{c}").alias(d) for c, d in zip(("id", "line", "set"), place, strict=True)])
         if open_ is None:
@@ -501,4 +503,4 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent
                 counts = pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], ["n_lines", "n_removed"])
                 yield pa.RecordBatch.from_arrays([*columns, counts], [*(f.name for f in fields), column])
 
-    return joined.mapInArrow(run, T.StructType([*fields, T.StructField(column, kind)]))
+    return joined.mapInArrow(vec.tidy(run), T.StructType([*fields, T.StructField(column, kind)]))

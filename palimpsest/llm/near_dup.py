@@ -163,7 +163,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                     [f.name for f in SKETCH.fields],
                 )
 
-    return docs.mapInArrow(run, SKETCH)
+    return docs.mapInArrow(vec.tidy(run), SKETCH)
 
 
 def shingle_set(text: str, size: int) -> set:
@@ -185,7 +185,7 @@ def _promising(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine))
 
     side = lambda k: sketches.select(F.col("entry").alias(k), F.col("registers").alias(f"r_{k}"), F.col("n_shingles").alias(f"n_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, PAIR)
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(vec.tidy(run), PAIR)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -194,7 +194,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
         def of(key: int, text: str) -> set:
             if key not in held:
-                if len(held) >= 256:
+                if sum(map(len, held.values())) >= 1 << 16:
                     held.clear()
                 held[key] = shingle_set(text, size)
             return held[key]
@@ -209,7 +209,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
     side = lambda k: texts.select(F.col("entry").alias(k), F.col("text").alias(f"t_{k}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(run, PAIR)
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(vec.tidy(run), PAIR)
 
 
 def full_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -221,7 +221,7 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
                 sets = piece_sets(data, offsets, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["entry", "shingles"])
 
-    return texts.select("entry", "text").mapInArrow(run, "entry long, shingles binary")
+    return texts.select("entry", "text").mapInArrow(vec.tidy(run), "entry long, shingles binary")
 
 
 def tile_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
@@ -296,7 +296,7 @@ def tiles(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -
         if rows:
             yield out()
 
-    return placed.mapInArrow(run, PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return placed.mapInArrow(vec.tidy(run), PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

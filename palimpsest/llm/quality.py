@@ -173,7 +173,7 @@ def _with_struct(docs: DataFrame, text: str, column: str, kind: T.StructType, ar
                 out = _struct(finish(measure_piece(data, offsets)), arrow)
                 yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, kind)]))
+    return docs.mapInArrow(vec.tidy(run), T.StructType([*docs.schema.fields, T.StructField(column, kind)]))
 
 
 def base_failed(q: dict, rules: Rules) -> np.ndarray:
@@ -204,7 +204,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: R
     def pooled(field: str, size: int) -> Column:
         return F.array(*[F.sum(F.col(field)[i]) for i in range(size)])
 
-    rows = docs.select(F.col(lang).cast("string"), text).mapInArrow(run, "ref_group string, chars array<long>, words array<long>")
+    rows = docs.select(F.col(lang).cast("string"), text).mapInArrow(vec.tidy(run), "ref_group string, chars array<long>, words array<long>")
     return rows.groupBy("ref_group").agg(pooled("chars", len(CLASSES)).alias("ref_chars"), pooled("words", len(VOCABULARY) + 1).alias("ref_words")).collect()
 
 

@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, text: str, window: int) -> DataFrame:
                 fp, block, start, n = rest
                 yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(block), pa.array(keys[which]), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["fp", "block", "key", "start", "n"])
 
-    return docs.select(KEY, text).mapInArrow(run, PRINTS)
+    return docs.select(KEY, text).mapInArrow(vec.tidy(run), PRINTS)
 
 
 class FingerprintIndex:
@@ -164,7 +164,7 @@ class FingerprintIndex:
                     key = keys.slice(row, len(part)).to_numpy()[which[one]]
                     yield pa.RecordBatch.from_arrays([pa.array(fp[one]), pa.array(hashes.view(np.int64)), pa.array(key), pa.array(first, pa.int32())], ["fp", "hash", "key", "start"])
 
-        return docs.mapInArrow(run, "fp long, hash long, key long, start int")
+        return docs.mapInArrow(vec.tidy(run), "fp long, hash long, key long, start int")
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, text: str, column: str) -> DataFrame:
@@ -196,7 +196,7 @@ def without_repeats(docs: DataFrame, spans: DataFrame, text: str, column: str) -
                 out = pa.array([cut(t, found[k]) for k, t in enumerate(texts)], pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), out], [*(f.name for f in fields), column])
 
-    return joined.mapInArrow(run, T.StructType([*fields, T.StructField(column, kind)]))
+    return joined.mapInArrow(vec.tidy(run), T.StructType([*fields, T.StructField(column, kind)]))
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 35, batches: int = 2, column: str = "dedup") -> DataFrame:

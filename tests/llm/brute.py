@@ -98,6 +98,7 @@ def op9(docs, items, size=13):
             for s in at[win[0]]:
                 if w[s : s + len(win)] == win:
                     hit.update(range(s, s + len(win)))
-                    held.add(str(item))
-        out[i] = (len(w), len(hit), len(held), sha(",".join(sorted(held))), bool(hit) and 20 * len(hit) >= len(w))
+                    held.add(item)
+        names = sorted(str(x) for x in held if x is not None)
+        out[i] = (len(w), len(hit), len(held), sha(",".join(names)), bool(hit) and 20 * len(hit) >= len(w))
     return out
