@@ -24,7 +24,7 @@ from .store import Store, fresh
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The bitmap takes 512 KB at most; it has 16 bits a shingle up to 2**MAX_BITS / 16 of them, then lets more through.
+#: The bitmap takes 512 KB at most; it has 64 bits a shingle up to 2**MAX_BITS / 64 of them, then lets more through.
 MAX_BITS = 22
 
 
@@ -77,7 +77,7 @@ def prefixes_of(windows: DataFrame, items: DataFrame, text: str) -> DataFrame:
 
 def bitmap(keys: DataFrame, max_bits: int):
     """A test of longs: true for each key, and for few others. The bitmap is one literal of at most 2**max_bits bits."""
-    bits = max(6, min(max_bits, (16 * max(1, keys.count())).bit_length()))
+    bits = max(6, min(max_bits, (64 * max(1, keys.count())).bit_length()))
     bucket = lambda k: k.bitwiseAND(F.lit((1 << bits) - 1))
     bit = lambda k: bucket(k).bitwiseAND(F.lit(63)).cast("int")
     word = lambda k: F.shiftright(bucket(k), 6).cast("int")
