@@ -2,36 +2,42 @@
 
 A fingerprint is the hash of the least word 5-gram of a window (its minimiser). Neighbouring windows mostly share
 one, so a document has a fingerprint for about every sixteenth word, and equal windows have equal fingerprints
-wherever they stand. The index holds sorted immutable runs (fingerprint, times seen, least and greatest block hash;
-a block is all words of the neighbouring windows that share the fingerprint). A batch adds a run; runs are merged by
-compaction once there are more than ``fanout``. A batch is then merge-joined with the index: only fingerprints seen
-twice or more can belong to repeated windows.
-
-Those are verified on whole windows: equal blocks have all windows equal; the windows of other blocks, and of one
-holder of each repeated block, are hashed one by one (the fingerprint and a window hash, 128 bits) and counted.
-
-Cases: null and empty texts have no words. A text of fewer words than the window loses nothing. A null id is replaced
-as a key by a hash of its text, and returned as null. Rows that repeat an id with the same text repeat each other's
-windows; with different texts their positions are taken together. Degenerate texts (one word thousands of times) are
-fingerprinted at every word, which is still linear.
+wherever they stand. A block is all words of the neighbouring windows that share the fingerprint.
+
+Each batch adds an immutable run sorted by fingerprint: its postings (fingerprint, block hash, row, start, windows), and
+a summary (fingerprint, times, least and greatest block hash). Summaries are merged by compaction once there are more
+than ``fanout``. The batch's summary is joined with the earlier ones; only fingerprints seen twice or more in all can
+belong to repeated windows, and only those that the batch has are looked at. Their postings, the batch's and the earlier
+ones, are verified on whole windows: equal blocks have all windows equal; of blocks that differ, one holder each is
+read again and its windows are hashed one by one (with the fingerprint, 128 bits) and counted. ``add`` returns what the
+batch has made repeated: its own spans, and those of earlier rows that are hit now.
+
+Parquet runs carry no partitioning that Spark knows, so a join of runs deals them out again by fingerprint. A
+fingerprint or block with over a thousandth of all postings is joined apart, by broadcast: there are at most 1,000.
+
+Cases: null and empty texts have no words. A text of fewer words than the window loses nothing. A row is known by its id
+(null: none) and the hash of its text, so rows that repeat an id with another text are rows of their own, and rows
+repeated as a whole repeat each other's windows. Degenerate texts (one word thousands of times) are fingerprinted at
+every word, which is still linear.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .store import Store
+from .store import Store, fresh, refuse
 
 GRAM = 5
 LOW = 24
-KEY = "_repeat_key"
-
-PRINTS = "fp long, block long, key long, start int, n int"
+ROW = ["id", "hash"]
+PRINTS = "fp long, block long, id long, hash long, start int, n int"
+#: A key with over 1 / HOT of all postings is joined by broadcast; there are at most HOT.
+HOT = 1000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -64,92 +70,126 @@ def piece_prints(words: vec.Words, window: int) -> tuple[np.ndarray, ...]:
     return text, grams[anchor[first]].view(np.int64), blocks.view(np.int64), begin - words.first[text], size
 
 
-def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.withColumn(KEY, F.coalesce(F.col(id).cast("long"), F.xxhash64(F.col(text))))
+def rows_of(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, hash, text): a null id is one that no other row has with that text."""
+    return docs.select(row_id(F.col(id)).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).cast("string").alias("text"))
+
+
+def row_id(id: Column) -> Column:
+    return F.coalesce(id.cast("long"), F.lit(-(1 << 63)))
 
 
-def fingerprints(docs: DataFrame, text: str, window: int) -> DataFrame:
+def fingerprints(docs: DataFrame, window: int) -> DataFrame:
+    """PRINTS of docs (id, hash, text)."""
+
     def run(batches):
         for batch in batches:
-            for row, data, offsets in vec.pieces(batch.column(1)):
-                keys = batch.column(0).slice(row, len(offsets) - 1).to_numpy()
+            for row, data, offsets in vec.pieces(batch.column(2)):
+                ids, hashes = (batch.column(k).slice(row, len(offsets) - 1).to_numpy() for k in (0, 1))
                 which, *rest = piece_prints(vec.Words(data, offsets, vec.WHITE), window)
                 fp, block, start, n = rest
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(block), pa.array(keys[which]), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["fp", "block", "key", "start", "n"])
+                columns = [pa.array(fp), pa.array(block), pa.array(ids[which]), pa.array(hashes[which]), pa.array(start, pa.int32()), pa.array(n, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["fp", "block", *ROW, "start", "n"])
+
+    return docs.select(*ROW, "text").mapInArrow(vec.tidy(run), PRINTS)
 
-    return docs.select(KEY, text).mapInArrow(vec.tidy(run), PRINTS)
+
+def joined_by(many: DataFrame, few: DataFrame, on: list[str], total: int) -> DataFrame:
+    """many joined with few, whose rows (one for each key) say in ``times`` how often many has the key, of total rows."""
+    often = F.col("times") * HOT > total
+    hot = F.broadcast(few.where(often))
+    rest = many.join(F.broadcast(few.where(often).select(*on)), on, "left_anti").join(few.where(~often), on)
+    return many.join(hot, on).unionByName(rest)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs in the shared folder. ``add`` a batch, then ask which of its words ``repeated`` covers."""
+    """Sorted immutable runs in the shared folder; ``add`` a batch to learn what it repeats."""
 
     def __init__(self, spark: SparkSession, window: int, fanout: int = 4):
         self.window, self.fanout = window, fanout
-        self.store = Store(spark, "fingerprints")
-        self.runs: list[str] = []
-        self.made = 0
-        self.history: DataFrame | None = None
-
-    def _write(self, counted: DataFrame) -> str:
-        self.made += 1
-        name = f"run-{self.made}"
-        # The aggregate has left each fingerprint in one partition: sorting there makes a run that merges without more moves.
-        hi = F.when(F.col("hi") != F.col("lo"), F.col("hi")).alias("hi")
-        self.store.write(counted.select("fp", "times", "lo", hi).sortWithinPartitions("fp"), name)
-        return name
-
-    def read(self, names: list[str] | None = None) -> DataFrame:
-        runs = [self.store.spark.read.parquet(self.store.path(r)) for r in names or self.runs]
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.withColumn("hi", F.coalesce("hi", "lo"))
+        self.store = Store(spark, "fingerprints", frugal=True)
+        self.summaries: list[str] = []
+        self.postings: list[str] = []
+        self.batches: list[DataFrame] = []
+        self.made = self.total = 0
+
+    def _union(self, names: list[str]) -> DataFrame:
+        out = self.store.spark.read.parquet(self.store.path(names[0]))
+        for name in names[1:]:
+            out = out.unionByName(self.store.spark.read.parquet(self.store.path(name)))
+        return out
 
     @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("fp").agg(F.sum("times").alias("times"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-
-    def add(self, docs: DataFrame, text: str) -> None:
-        """Index a batch (keyed docs) as one new run, and compact if there are too many."""
-        prints = fingerprints(docs, text, self.window)
-        counted = prints.groupBy("fp").agg(F.count("*").alias("times"), F.min("block").alias("lo"), F.max("block").alias("hi"))
-        self.runs.append(self._write(counted))
-        if len(self.runs) > self.fanout:
-            self.compact()
+    def _merged(summaries: DataFrame) -> DataFrame:
+        return summaries.groupBy("fp").agg(F.sum("times").alias("times"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
     def compact(self) -> None:
-        if len(self.runs) > 1:
-            old, self.runs = self.runs, [self._write(self._merged(self.read()))]
-            for name in old:
-                self.store.drop(name)
-
-    def repeated(self, docs: DataFrame, text: str) -> DataFrame:
-        """(key, spans): word spans [from, to) of indexed docs that lie in windows which the index has twice or more."""
-        window, store = self.window, self.store
-        index = self._merged(self.read()) if len(self.runs) > 1 else self.read()
-        again = index.where("times > 1").select("fp", (F.col("lo") == F.col("hi")).alias("alike"))
-        prints = store.write(fingerprints(docs, text, window).join(again, "fp"), "repeats")
-
-        mixed = prints.where("not alike")
-        blocks = mixed.groupBy("fp", "block").agg(F.count("*").alias("times"), F.min("key").alias("holder"))
-        mixed = store.write(mixed.join(blocks, ["fp", "block"]), "mixed")
+        """Merge the summaries into one."""
+        if len(self.summaries) > 1:
+            self.made += 1
+            old, name = self.summaries, f"summary-{self.made}"
+            self.store.write(self._merged(self._union(old)).sortWithinPartitions("fp"), name)
+            self.summaries = [name]
+            for gone in old:
+                self.store.drop(gone)
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Index a batch (id, hash, text) and return spans (id, hash, start, to): words of windows that it has made repeated.
+
+        The batch is read again, now and when later batches repeat it, so it should be a written table.
+        """
+        store, window, step = self.store, self.window, len(self.postings)
+        run = store.write(fingerprints(docs, window).repartition("fp").sortWithinPartitions("fp"), f"run-{step}")
+        own = run.groupBy("fp").agg(F.count("*").alias("times"), F.min("block").alias("lo"), F.max("block").alias("hi"))
+        own = store.write(own.sortWithinPartitions("fp"), f"own-{step}")
+        self.total += run.count()
+
+        all_ = own.select("fp", "times", "lo", "hi", F.lit(0).cast("long").alias("before"))
+        if self.summaries:
+            earlier = self._merged(self._union(self.summaries)).select("fp", F.col("times").alias("before"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"))
+            before = F.coalesce("before", F.lit(0).cast("long"))
+            all_ = own.join(earlier, "fp", "left").select("fp", (F.col("times") + before).alias("times"), F.least("lo", "lo_").alias("lo"), F.greatest("hi", "hi_").alias("hi"), before.alias("before"))
+        again = all_.where("times > 1").select("fp", "times", "before", (F.col("lo") == F.col("hi")).alias("alike"))
+        again = store.write(again, f"again-{step}")
+
+        places = joined_by(run, again.drop("before"), ["fp"], self.total)
+        if self.postings:
+            hit = again.where("before > 0").drop("before")
+            places = places.unionByName(joined_by(self._union(self.postings), hit, ["fp"], self.total))
+        places = store.write(places.drop("times"), f"places-{step}")
+        self.postings.append(f"run-{step}")
+        self.summaries.append(f"own-{step}")
+        self.batches.append(docs)
+
+        mixed = places.where("not alike")
+        blocks = mixed.groupBy("fp", "block").agg(F.count("*").alias("times"), F.min(F.struct(*ROW, "start", "n")).alias("holder"))
+        blocks = store.write(blocks, f"blocks-{step}")
         to = F.col("start") + F.col("n") + F.lit(window - 1)
-        sure = prints.where("alike").unionByName(mixed.where("times > 1").select(*prints.columns)).select("key", "start", to.alias("to"))
-
-        open_ = mixed.where("times = 1 or key = holder")
-        asked = open_.groupBy(F.col("key").alias("asked_key")).agg(F.collect_list(F.struct("fp", "start", "n")).alias("asked"))
-        found = self._window_hashes(docs.join(asked, F.col(KEY) == F.col("asked_key")), text)
-        twice = found.groupBy("fp", "hash").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-        proven = found.join(twice, ["fp", "hash"]).select("key", "start", (F.col("start") + window).alias("to"))
-        return sure.unionByName(proven).groupBy("key").agg(F.collect_list(F.struct("start", "to")).alias("spans"))
+        twice = joined_by(mixed, blocks.where("times > 1").select("fp", "block", "times"), ["fp", "block"], self.total)
+        sure = places.where("alike").select(*ROW, "start", to.alias("to")).unionByName(twice.select(*ROW, "start", to.alias("to")))
+
+        asked = blocks.select("holder.*", "fp").groupBy(*[F.col(c).alias(f"asked_{c}") for c in ROW]).agg(F.collect_list(F.struct("fp", "start", "n")).alias("asked"))
+        texts = self.batches[0]
+        for more in self.batches[1:]:
+            texts = texts.unionByName(more)
+        found = self._window_hashes(texts.join(asked, (F.col("id") == F.col("asked_id")) & (F.col("hash") == F.col("asked_hash"))))
+        found = store.write(found, f"windows-{step}")
+        counted = found.groupBy("fp", "window").agg(F.count("*").alias("times")).where("times > 1")
+        proven = joined_by(found, store.write(counted, f"proven-{step}"), ["fp", "window"], max(1, found.count()))
+        spans = store.write(sure.unionByName(proven.select(*ROW, "start", (F.col("start") + window).alias("to"))), f"spans-{step}")
+        for name in ("again", "places", "blocks", "windows", "proven"):
+            store.drop(f"{name}-{step}")
+        if len(self.summaries) > self.fanout:
+            self.compact()
+        return spans
 
-    def _window_hashes(self, docs: DataFrame, text: str) -> DataFrame:
+    def _window_hashes(self, docs: DataFrame) -> DataFrame:
+        """(fp, window, id, hash, start): each window of the asked runs of windows."""
         window = self.window
-        at = [docs.columns.index(c) for c in (KEY, text, "asked")]
 
         def run(batches):
             for batch in batches:
-                keys, texts, asked = (batch.column(i) for i in at)
+                id_, hash_, texts, asked = batch.columns
                 for row, data, offsets in vec.pieces(texts):
                     words = vec.Words(data, offsets, vec.WHITE)
                     part = asked.slice(row, len(offsets) - 1)
@@ -158,20 +198,22 @@ class FingerprintIndex:
                     which = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
                     one = np.repeat(np.arange(len(n)), n)
                     first = start[one].astype(np.int64) + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
-                    fits = first + window <= words.counts[which[one]]
-                    one, first = one[fits], first[fits]
                     hashes = vec.range_hashes(words.hashes(), words.first[which[one]] + first, np.full(len(first), window))
-                    key = keys.slice(row, len(part)).to_numpy()[which[one]]
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[one]), pa.array(hashes.view(np.int64)), pa.array(key), pa.array(first, pa.int32())], ["fp", "hash", "key", "start"])
+                    own = [c.slice(row, len(part)).to_numpy()[which[one]] for c in (id_, hash_)]
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[one]), pa.array(hashes.view(np.int64)), *map(pa.array, own), pa.array(first, pa.int32())], ["fp", "window", *ROW, "start"])
 
-        return docs.mapInArrow(vec.tidy(run), "fp long, hash long, key long, start int")
+        return docs.select(*ROW, "text", "asked").mapInArrow(vec.tidy(run), "fp long, window long, id long, hash long, start int")
 
 
-def without_repeats(docs: DataFrame, spans: DataFrame, text: str, column: str) -> DataFrame:
+def without_repeats(docs: DataFrame, spans: DataFrame, id: str, text: str, column: str) -> DataFrame:
     """docs with ``column``: struct(n_words, n_removed, kept): the words outside the spans, joined by one space."""
-    joined = docs.join(spans.withColumnRenamed("key", "span_key"), F.col(KEY) == F.col("span_key"), "left").drop("span_key")
-    at, spans_at = joined.columns.index(text), joined.columns.index("spans")
-    fields = [f for f in joined.schema.fields if f.name not in (KEY, "spans")]
+    by_row = spans.groupBy(*ROW).agg(F.collect_set(F.struct("start", "to")).alias("spans"))
+    own_id, own_hash, span_id, span_hash, found = fresh(docs, "own_id", "own_hash", "span_id", "span_hash", "spans")
+    by_row = by_row.select(F.col("id").alias(span_id), F.col("hash").alias(span_hash), F.col("spans").alias(found))
+    left = docs.withColumns({own_id: row_id(F.col(id)), own_hash: F.xxhash64(F.col(text))})
+    joined = left.join(by_row, (F.col(own_id) == F.col(span_id)) & (F.col(own_hash) == F.col(span_hash)), "left").drop(own_id, own_hash, span_id, span_hash)
+    at, spans_at = joined.columns.index(text), joined.columns.index(found)
+    fields = [f for f in joined.schema.fields if f.name != found]
     keep = [joined.columns.index(f.name) for f in fields]
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
@@ -200,16 +242,13 @@ def without_repeats(docs: DataFrame, spans: DataFrame, text: str, column: str) -
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 35, batches: int = 2, column: str = "dedup") -> DataFrame:
-    """Index docs batch by batch, then take out every word in a window that the index holds twice or more."""
-    if column in docs.columns:
-        raise ValueError(f"the input already has a column {column!r}")
-    docs = keyed(docs, id, text)
+    """Add docs to an index batch by batch, then take out every word of a span that an add has returned."""
+    refuse(docs, column)
+    rows = rows_of(docs, id, text)
     index = FingerprintIndex(docs.sparkSession, window)
+    spans = None
     for k in range(batches):
-        index.add(docs.where(F.pmod(F.xxhash64(KEY), F.lit(batches)) == k), text)
-    index.compact()
-    index.store.reclaim()
-    spans = index.repeated(docs, text)
-    for name in index.runs:  # this index was for one table; what it told is written
-        index.store.drop(name)
-    return without_repeats(docs, spans, text, column)
+        found = index.add(rows.where(F.pmod(F.xxhash64(*ROW), F.lit(batches)) == k))
+        spans = found if spans is None else spans.unionByName(found)
+    index.store.close(*[f"spans-{k}" for k in range(batches)])  # this index was for one table
+    return without_repeats(docs, spans, id, text, column)
