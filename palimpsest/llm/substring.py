@@ -4,7 +4,7 @@ A fingerprint is the hash of the least word 5-gram of a window (its minimiser).
 one, so a document has a fingerprint for about every sixteenth word, and equal windows have equal fingerprints
 wherever they stand. A block is all words of the neighbouring windows that share the fingerprint.
 
-Each batch adds an immutable run sorted by fingerprint: its postings (fingerprint, block hash, row, start, windows), and
+Each batch adds an immutable run, whose files are each sorted by fingerprint: its postings (fingerprint, block hash, row, start, windows), and
 a summary (fingerprint, times, least and greatest block hash). Summaries are merged by compaction once there are more
 than ``fanout``. The batch's summary is joined with the earlier ones; only fingerprints seen twice or more in all can
 belong to repeated windows, and only those that the batch has are looked at. Their postings, the batch's and the earlier
@@ -139,7 +139,7 @@ class FingerprintIndex:
         The batch is read again, now and when later batches repeat it, so it should be a written table.
         """
         store, window, step = self.store, self.window, len(self.postings)
-        run = store.write(fingerprints(docs, window).repartition("fp").sortWithinPartitions("fp"), f"run-{step}")
+        run = store.write(fingerprints(docs, window).sortWithinPartitions("fp"), f"run-{step}")
         own = run.groupBy("fp").agg(F.count("*").alias("times"), F.min("block").alias("lo"), F.max("block").alias("hi"))
         own = store.write(own.sortWithinPartitions("fp"), f"own-{step}")
         self.total += run.count()
