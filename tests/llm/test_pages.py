@@ -1,8 +1,12 @@
 import base64
 import hashlib
+import time
+from html.parser import HTMLParser
+
+import pytest
 
 from palimpsest.llm import queries, warc
-from palimpsest.llm.html_text import extract, extract_text
+from palimpsest.llm.html_text import BLOCK, extract, extract_text
 from palimpsest.llm.store import Store
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>"</script></head><body class="has-sidebar">
@@ -27,6 +31,72 @@ def test_extract_odd():
     assert extract("<article><p>a &lt; b</p><p>" + "long, " * 30000 + "</p></article>").startswith("a < b\nlong, long")
 
 
+def test_whole_article():
+    page = "<body><main><article><section><p>" + "Long text, with commas, and more of it, again. " * 20 + "</p></section><section><p>The end.</p></section>"
+    page += '<div class="related-work"><h2>Related work</h2><p>Others did this, too.</p></div><div class="related-links"><a href=x>other page</a></div><div class="share-story"><a href=y>tell</a></div>'
+    page += '</article><div class="more"><a href=z>x</a></div></main><footer>f</footer>'
+    assert extract(page).split("\n")[1:] == ["The end.", "Related work", "Others did this, too."]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 1 + "<div>{}" , "<i>{}", "<p><i>{}<p>x</b>", "<header>{}", "</section>{}", "<b><div>{}</b>"])
+def test_time_is_linear_in_depth(page):
+    before, after = page.split("{}")
+    took = []
+    for n in (20_000, 80_000):
+        made = (before * n) + "deep, text" + (after * n)
+        began = time.process_time()
+        extract(made)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.2  # a quadratic step takes 16 times as long
+
+
+class Plain(HTMLParser):
+    """The blocks of the article element of the generated pages, by another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.text, self.depth, self.skip = [], [], 0, 0
+
+    def flush(self):
+        line = " ".join("".join(self.text).split())
+        if line and self.depth:
+            self.out.append(line)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.flush()
+            self.depth += 1
+        elif tag in BLOCK:
+            self.flush()
+        elif tag == "br":
+            self.text.append(" ")
+        self.skip += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        if tag in BLOCK:
+            self.flush()
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text.append(data)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_all_generated_pages(spark, sf):
+    """Every page of the tables has its text in one article element without other parts."""
+    rows = queries.op10_tree_scoring(spark, f"/root/testdata/{sf}").collect()
+    html = {r.page_id: r.html for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()}
+    assert len(rows) == len(html)
+    for r in rows:
+        plain = Plain()
+        plain.feed(html[r.page_id] or "")
+        plain.flush()
+        assert (r.text, r.n_chars) == ("\n".join(plain.out), len("\n".join(plain.out))), r.page_id
+
+
 def test_extract_keeps_rows(spark):
     df = spark.createDataFrame([(1, None, "u"), (1, "<p>x</p>", None), (None, "", "u")], "page_id long, html string, tag string")
     assert sorted(r.text for r in extract_text(df).collect()) == ["", "", "x"]
