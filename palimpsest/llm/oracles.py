@@ -117,18 +117,22 @@ FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN r ON d.doc_id = r.
 
 
 def op8(threshold: float = licenses.THRESHOLD) -> str:
-    known = licenses.templates()
-    most = max(licenses.bounds(len(g), threshold)[1] for _, g in known)
-    rows = ", ".join(f"('{name}', {strings(grams)})" for name, grams in known)
+    rows = ", ".join(f"('{name}', {strings(grams)}, {length})" for name, grams, length in licenses.templates())
     return f"""
-WITH t(name, grams) AS (VALUES {rows}),
+WITH t0(name, grams, length) AS (VALUES {rows}),
+t AS (SELECT *, row_number() OVER () AS tid FROM t0),
 u AS (SELECT doc_id, list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)), lambda x: list_filter(string_split(x, ' '), lambda w: w <> '')) AS units FROM documents),
-v AS (SELECT doc_id, CASE WHEN len(units) > 1 AND len(flatten(units)) <= {4 * most} THEN list_append(units, flatten(units)) ELSE units END AS units FROM u),
-e AS (SELECT doc_id, unnest(units) AS w, generate_subscripts(units, 1) AS no FROM v),
-g AS (SELECT doc_id, no, list_distinct(list_transform(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda z: z[1] || ' ' || z[2])) AS s FROM e WHERE len(w) > 1 AND len(w) <= {4 * most}),
-m AS (SELECT doc_id, no, name, 2.0::DOUBLE * len(list_intersect(s, grams)) / (len(s) + len(grams)) AS dice FROM g JOIN t ON len(list_intersect(s, grams)) > 0),
-h AS (SELECT * FROM m WHERE dice >= {threshold}),
-a AS (SELECT doc_id, count(DISTINCT no) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM h GROUP BY doc_id),
+w AS (SELECT doc_id, flatten(units) AS w, len(units) AS n FROM u),
+p AS (SELECT doc_id, n, CASE WHEN len(w) > 1 THEN list_transform(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda z: z[1] || ' ' || z[2]) ELSE [] END AS g FROM w),
+e AS (SELECT doc_id, unnest(units) AS w, generate_subscripts(units, 1) AS no FROM u),
+s AS (SELECT doc_id, no, list_distinct(list_transform(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda z: z[1] || ' ' || z[2])) AS s FROM e WHERE len(w) > 1
+  UNION ALL SELECT doc_id, 0, list_distinct(g) FROM p WHERE n > 1 AND len(g) > 0),
+m AS (SELECT doc_id, no, name, 2.0::DOUBLE * len(list_intersect(s, grams)) / (len(s) + len(grams)) AS dice FROM s JOIN t ON len(list_intersect(s, grams)) > 0),
+x AS (SELECT doc_id, g, tid, name, grams, length, unnest(range(1, len(g) + 1)) AS i FROM p JOIN t ON len(list_intersect(list_distinct(g), grams)) >= {threshold} / (2 - {threshold}) * len(grams) - 1e-9),
+y AS (SELECT doc_id, tid, name, grams, list_distinct(g[i:i + length - 1]) AS s FROM x WHERE list_contains(grams, g[i])),
+z AS (SELECT doc_id, tid, name, max(2.0::DOUBLE * len(list_intersect(s, grams)) / (len(s) + len(grams))) AS dice FROM y GROUP BY ALL),
+h AS (SELECT doc_id, no AS unit, name, dice FROM m WHERE dice >= {threshold} UNION ALL SELECT doc_id, -tid, name, dice FROM z WHERE dice >= {threshold}),
+a AS (SELECT doc_id, count(DISTINCT unit) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM h GROUP BY doc_id),
 b AS (SELECT doc_id, name, dice FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) = 1)
 SELECT d.doc_id, coalesce(a.n, 0)::BIGINT AS n_matches, coalesce(a.names, '') AS licenses, b.name AS best_license, round(b.dice, 6) AS best_dice
 FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN b ON d.doc_id = b.doc_id

@@ -31,21 +31,22 @@ def test_place(spark):
 
 
 def plain(text, threshold=0.8):
-    """Best (dice, name) of each unit, without bounds."""
+    """Units that match, names, and the best (dice, name): each unit against each template, and every window, without bounds."""
     import re
 
     units = [re.sub(r"[\W_]+", " ", x.lower()).split() for x in (text or "").split("\n")]
+    words = [w for u in units for w in u]
     if len(units) > 1:
-        units.append([w for u in units for w in u])
-    found = []
-    for u in units:
-        grams = {f"{a} {b}" for a, b in zip(u, u[1:])}
-        hits = [(-2 * len(grams & set(t)) / (len(grams) + len(t)), name) for name, t in licenses.templates() if grams]
-        hits = [h for h in hits if -h[0] >= threshold]
-        if hits:
-            found.append(sorted(hits))
+        units.append(words)
+    pairs = lambda u: [f"{a} {b}" for a, b in zip(u, u[1:])]
+    score = lambda grams, t: (-2 * len(grams & set(t)) / (len(grams) + len(t))) if grams else 0
+    found = [[(score(set(pairs(u)), t), name) for name, t, _ in licenses.templates()] for u in units]
+    whole = pairs(words)
+    for name, t, length in licenses.templates():
+        found.append([(min((score(set(whole[i : i + length]), t) for i in range(len(whole)) if whole[i] in t), default=0), name)])
+    found = [sorted(h for h in f if -h[0] >= threshold) for f in found]
     flat = sorted(h for f in found for h in f)
-    return len(found), ",".join(sorted({n for _, n in flat})), flat[0][1] if flat else None, round(-flat[0][0], 6) if flat else None
+    return sum(map(bool, found)), ",".join(sorted({n for _, n in flat})), flat[0][1] if flat else None, round(-flat[0][0], 6) if flat else None
 
 
 def test_scan(spark):
