@@ -132,3 +132,8 @@ def points_box(points: Column) -> Column:
     xs, ys = coordinates(points, "x"), coordinates(points, "y")
     box = F.struct(F.array_min(xs).alias("left"), F.array_min(ys).alias("top"), F.array_max(xs).alias("right"), F.array_max(ys).alias("bottom"))
     return F.when(F.size(points) >= 2, box)
+
+
+def allowed(format: Column, formats=()) -> Column:
+    """Whether a code's format may be decoded; without formats all may."""
+    return format.isin(*formats) if formats else F.lit(True)

@@ -74,7 +74,9 @@ def fix_mixed_word(word: Column) -> Column:
 
 
 def fix_mixed_alphabets(text: Column) -> Column:
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), fix_mixed_word), "")
+    """Only texts with letters of both alphabets are taken apart."""
+    fixed = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), fix_mixed_word), "")
+    return F.when(text.rlike(P.CYRILLIC_WIDE) & text.rlike(P.LATIN), fixed).otherwise(text)
 
 
 # Literal substitutions, in order; each is one pass, so three spaces become two.
@@ -128,30 +130,39 @@ def merges(line: Column, following: Column) -> Column:
     return ~stays & (following.rlike(r"^\p{Ll}") | line.rlike(r"(-|,| и| или| а| но)$"))
 
 
+def preview(text: Column, size: int = 50) -> Column:
+    """The first characters, with an ellipsis if there are more."""
+    return F.concat(F.left(text, F.lit(size)), F.when(F.char_length(text) > size, "…").otherwise(""))
+
+
 # --- language and confidence ------------------------------------------------------------------------------------
 
 
-def _shares(text: Column) -> tuple[Column, Column, Column]:
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    share = lambda p: F.regexp_count(text, F.lit(p)) / F.nullif(letters, F.lit(0))
-    return letters, share(P.CYRILLIC_BLOCK), share(P.LATIN)
+def _by_shares(text: Column, decide) -> Column:
+    """decide(letters, Cyrillic share, Latin share); each count reads the text once, whatever the branches ask."""
+    letters, cyrillic, latin = (F.regexp_count(text, F.lit(p)) for p in (r"\p{L}", P.CYRILLIC_BLOCK, P.LATIN))
+    counts = F.array(F.struct(letters.alias("letters"), cyrillic.alias("cyrillic"), latin.alias("latin")))
+
+    def decided(c: Column) -> Column:
+        of = F.nullif(c["letters"], F.lit(0))
+        return decide(c["letters"], c["cyrillic"] / of, c["latin"] / of)
+
+    return F.get(F.transform(counts, decided), F.lit(0))
 
 
 def language(text: Column) -> Column:
     """rus, eng or rus+eng by shares of letters; rus where there is no letter."""
-    letters, cyrillic, latin = _shares(text)
-    return (
+    return _by_shares(text, lambda letters, cyrillic, latin: (
         F.when(letters == 0, "rus").when(cyrillic > 0.7, "rus").when(latin > 0.7, "eng")
         .when((cyrillic > 0.2) & (latin > 0.2), "rus+eng").when(cyrillic > latin, "rus").otherwise("eng")
-    )
+    ))
 
 
 def language_strict(text: Column) -> Column:
-    letters, cyrillic, latin = _shares(text)
-    return (
+    return _by_shares(text, lambda letters, cyrillic, latin: (
         F.when(letters == 0, "UNKNOWN").when(cyrillic > 0.6, "RUS").when(latin > 0.6, "ENG")
         .when((cyrillic > 0.15) & (latin > 0.15), "RUS+ENG").when(cyrillic > latin, "RUS").when(latin > cyrillic, "ENG").otherwise("UNKNOWN")
-    )
+    ))
 
 
 def language_name(code: Column) -> Column:

@@ -45,3 +45,8 @@ def icon(success: Column, accuracy: Column) -> Column:
 def report(engine_rows: DataFrame) -> DataFrame:
     row = F.format_string("│ %-12s │ %5.1f%% │ %5.1f%% │ %5dms │   %3d%%      │", F.substring("engine", 1, 12), F.col("char_accuracy") * 100, F.col("word_accuracy") * 100, F.col("ms"), (F.col("success_rate") * 100).cast("int"))
     return engine_rows.select("engine", row.alias("line"))
+
+
+def any_ready(engines: DataFrame, key: str, ready: str = "ready") -> DataFrame:
+    """(key, ready): whether any engine of a key is ready; null counts as not."""
+    return engines.groupBy(key).agg(F.bool_or(F.coalesce(F.col(ready), F.lit(False))).alias(ready))

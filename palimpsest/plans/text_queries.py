@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions.patterns import DETECTORS, LOOKALIKE_CYRILLIC, LOOKALIKE_LATIN
 from ..operators import corrections as C
 from ..operators import layout as L
-from ..operators import pii
+from ..operators import pii, ranking
 from .registry import query, table
 
 LUHN = "(list_sum(list_transform(range(0, len({d})), lambda i: CASE WHEN i % 2 = 0 THEN ({d}[len({d}) - i])::INT ELSE ({d}[len({d}) - i])::INT * 2 - CASE WHEN ({d}[len({d}) - i])::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0)"
@@ -47,7 +47,8 @@ def _category(name: str, category: str, source: str, key: str, make=None, make_s
 _category("pii_card_luhn", "credit_card", "documents", "doc_id")
 _category("pii_passport", "passport_rf", "documents", "doc_id")
 _category("pii_email", "email", "documents", "doc_id")
-_category("pii_phone", "phone_rf", "conversations", "conv_id")
+_category("pii_phone", "phone_rf", "customer", "c_custkey", lambda: F.expr("concat('tel +7 (9', lpad(cast(c_custkey % 100 as string), 2, '0'), ') ', lpad(cast(c_custkey % 1000 as string), 3, '1'), '-12-', lpad(cast(c_custkey % 100 as string), 2, '3'), '; 8', lpad(cast(c_custkey as string), 10, '9'), ', 7', lpad(cast(c_custkey as string), 10, '5'))"),
+          "'tel +7 (9' || lpad((c_custkey % 100)::VARCHAR, 2, '0') || ') ' || lpad((c_custkey % 1000)::VARCHAR, 3, '1') || '-12-' || lpad((c_custkey % 100)::VARCHAR, 2, '3') || '; 8' || lpad(c_custkey::VARCHAR, 10, '9') || ', 7' || lpad(c_custkey::VARCHAR, 10, '5')")
 _category("pii_date", "date", "documents", "doc_id")
 _category("pii_inn", "inn", "customer", "c_custkey", lambda: F.expr("concat('INN ', lpad(cast(c_custkey as string), 10, '7'), '; 12 ', lpad(cast(c_custkey as string), 12, '5'), ' no ', lpad(cast(c_custkey as string), 9, '1'))"),
           "'INN ' || lpad(c_custkey::VARCHAR, 10, '7') || '; 12 ' || lpad(c_custkey::VARCHAR, 12, '5') || ' no ' || lpad(c_custkey::VARCHAR, 9, '1')")
@@ -299,9 +300,40 @@ def barcode_engine(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.explode(B.first_engine("AUTO", one, two)).alias("engine"))
 
 
-@query(f"SELECT id, raw, format FROM {CODES_SQL} WHERE format IN ('EAN_13', 'CODE_128')")
+@query(f"SELECT id, raw, format, 'some' AS list FROM {CODES_SQL} WHERE format IN ('EAN_13', 'CODE_128') UNION ALL SELECT id, raw, format, 'all' FROM {CODES_SQL}")
 def barcode_allowed_formats(spark, sf):
-    return codes(spark, sf).where(F.col("format").isin("EAN_13", "CODE_128"))
+    every = codes(spark, sf)
+    kept = lambda name, *formats: every.where(B.allowed(F.col("format"), formats)).select("id", "raw", "format", F.lit(name).alias("list"))
+    return kept("some", "EAN_13", "CODE_128").unionByName(kept("all"))
+
+
+@query("SELECT doc_id, left(text, 50) || CASE WHEN length(text) > 50 THEN '…' ELSE '' END AS preview FROM documents")
+def text_preview(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT s_nationkey, bool_or(s_suppkey % 4 = 1) AS ready FROM supplier GROUP BY s_nationkey")
+def engine_any_ready(spark, sf):
+    """Suppliers stand for engines, nations for devices."""
+    return ranking.any_ready(table(spark, sf, "supplier").select("s_nationkey", (F.col("s_suppkey") % 4 == 1).alias("ready")), "s_nationkey")
+
+
+# Applied twice, a replacement that consumes both digits does what one that only looks at them does.
+_once = "regexp_replace({}, '([0-9]){}([0-9])', '\\1{}\\2', 'g')"
+_ONCE = _once.format(_once.format("t", "l", "1"), "O", "0")
+_TWICE = _once.format(_once.format(_once.format(_once.format("t", "l", "1"), "l", "1"), "O", "0"), "O", "0")
+
+
+@query(f"SELECT c_custkey, {_ONCE} AS consuming, {_TWICE} AS everywhere FROM (SELECT c_custkey, translate((c_custkey * 7919 + 131313)::VARCHAR, '38', 'lO') AS t FROM customer)")
+def digit_fixes(spark, sf):
+    t = F.translate((F.col("c_custkey").cast("long") * 7919 + 131313).cast("string"), "38", "lO")
+    return table(spark, sf, "customer").select("c_custkey", X.fix_digits(t).alias("consuming"), X.fix_digits_everywhere(t).alias("everywhere"))
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(coalesce(text, ''), '{DETECTORS[c]}') AS {c}" for c in DETECTORS) + f", doc_id IN (SELECT doc_id FROM ({sql_all('documents', 'doc_id', 'text')})) AS any_pii FROM documents")
+def pii_contains(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", *[pii.contains(t, c).alias(c) for c in DETECTORS], pii.has_pii(t).alias("any_pii"))
 
 
 # --- accuracy
