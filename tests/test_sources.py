@@ -26,7 +26,8 @@ def test_read_images(spark, tmp_path):
 
 def test_pdf(spark):
     made = pdf_text.pdf([(1, 2, "a (b)\n\\c"), (3, 4, "Я")], 10)
-    assert made.startswith(b"%PDF-1.4") and rb"(a \(b\) \\c) Tj" in made and b"(?) Tj" in made and pdf_text.is_searchable(made)
+    assert made.startswith(b"%PDF-1.4") and rb"(a \(b\) \\c) Tj" in made and pdf_text.is_searchable(made)
+    assert pdf_text.texts(made) == ["a (b) \\c", "Я"]
     assert not pdf_text.is_searchable(pdf_text.pdf([], 10)) and not pdf_text.is_searchable(None)
     box = lambda *v: G.box(*(F.lit(float(x)) for x in v))
     b = spark.range(1).select(F.lit(1).alias("doc_id"), F.explode(F.array(F.struct(F.lit(1).alias("ordinal"), F.lit("secret").alias("text"), box(100, 100, 300, 150).alias("box")), F.struct(F.lit(2).alias("ordinal"), F.lit("open").alias("text"), box(100, 200, 250, 250).alias("box")))).alias("r")).select("doc_id", "r.*")
@@ -35,3 +36,17 @@ def test_pdf(spark):
     content = bytes(pdf_text.redacted_pdfs(b, mask, sizes).first().content)
     assert b"(open) Tj" in content and b"secret" not in content
     assert b"(secret) Tj" in bytes(pdf_text.plain_pdfs(b).first().content)
+
+
+def test_pdf_keeps_every_character(monkeypatch):
+    rows = ["Привет, мир", "plain ) ET\\", "日本 😀 é", "", "".join(chr(0x4E00 + k) for k in range(250))]
+    for codes in (0xFFFF, 7):  # 7: many fonts on a page
+        monkeypatch.setattr(pdf_text, "FONT_CODES", codes)
+        made = pdf_text.pdf([(1, 2, t) for t in rows], 10)
+        assert pdf_text.texts(made) == rows and made.count(b"/Type0") == -(-len({c for t in rows if any(ord(x) > 255 for x in t) for c in t}) // codes)
+        table = made[made.rindex(b"xref\n0 ") :]
+        for n, place in enumerate(table.split(b"\n")[3:], 1):
+            if not place.endswith(b" n "):
+                break
+            assert made[int(place[:10]) :].startswith(b"%d 0 obj\n" % n)
+        assert n == made.count(b" 0 obj\n") + 1
