@@ -63,6 +63,13 @@ def _each(pixels: DataFrame, f) -> DataFrame:
     return pixels.select("image_id", "x", "y", pack(*[f(c) for c in rgb(F.col("argb"))]).alias("argb"))
 
 
+def desaturate(pixels: DataFrame) -> DataFrame:
+    """Gray in all channels by the weights of a colour matrix of zero saturation (fixed values), rounded."""
+    r, g, b = rgb(F.col("argb"))
+    v = F.floor((213 * r + 715 * g + 72 * b + 500) / 1000)
+    return pixels.select("image_id", "x", "y", pack(v, v, v).alias("argb"))
+
+
 def invert_dark(pixels: DataFrame, limit: float = 80.0) -> DataFrame:
     """Images whose mean gray is under the limit are inverted; the means are one small row for each image."""
     mean = gray(pixels).groupBy("image_id").agg(F.avg("gray").alias("_mean"))
@@ -144,6 +151,41 @@ def rotate(pixels: DataFrame, degrees: Column | int) -> DataFrame:
     return pixels.join(sizes, "image_id").select("image_id", nx.alias("x"), ny.alias("y"), "argb")
 
 
+def unwarp(pixels: DataFrame, quads: DataFrame) -> DataFrame:
+    """Stretch a quadrilateral (image_id, x1, y1 .. x4, y4: from the upper left, clockwise) over the whole image.
+
+    Each pixel of the result is traced back by the projective map of the unit square onto the quadrilateral and blended
+    from its four neighbours, in weights of a 32nd; what lies outside the image counts as 0, alpha included. An image
+    without a quadrilateral, or with one whose corners 2, 3 and 4 lie on a line, stays as it is.
+    """
+    sizes = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
+    x, y = ([F.col(f"{c}{k}").cast("double") for k in range(1, 5)] for c in "xy")
+    ax, ay, bx, by = x[1] - x[2], y[1] - y[2], x[3] - x[2], y[3] - y[2]
+    sx, sy = x[0] - x[1] + x[2] - x[3], y[0] - y[1] + y[2] - y[3]
+    area = F.nullif(ax * by - bx * ay, F.lit(0.0))
+    quads = quads.select("image_id", *x, *y, ((sx * by - bx * sy) / area).alias("_g"), ((ax * sy - sx * ay) / area).alias("_k")).where("_g is not null and _k is not null")
+    quads = quads.toDF("image_id", *[f"_{c}{k}" for c in "xy" for k in range(1, 5)], "_g", "_k")
+    placed = pixels.join(sizes, "image_id").join(quads, "image_id")
+
+    g, k, s, t = F.col("_g"), F.col("_k"), F.col("x") / F.col("_w"), F.col("y") / F.col("_h")
+    below = F.nullif(g * s + k * t + 1, F.lit(0.0))
+
+    def back(c: str) -> Column:
+        one, two, four = (F.col(f"_{c}{n}") for n in (1, 2, 4))
+        return F.floor(((two - one + g * two) * s + (four - one + k * four) * t + one) / below * 32 + 0.5)
+
+    placed = placed.select("image_id", "x", "y", back("x").alias("_u"), back("y").alias("_v"))
+    part = lambda c, n: F.col(c) - 32 * F.floor(F.col(c) / 32) if n else 32 * F.floor(F.col(c) / 32) + 32 - F.col(c)
+    near = [F.struct((F.floor(F.col("_u") / 32) + i).alias("x"), (F.floor(F.col("_v") / 32) + j).alias("y"), (part("_u", i) * part("_v", j)).alias("w")) for i in (0, 1) for j in (0, 1)]
+    near = placed.select("image_id", F.col("x").alias("_ox"), F.col("y").alias("_oy"), F.explode(F.array(*near)).alias("n")).select("image_id", "_ox", "_oy", "n.*")
+    found = near.join(pixels.select("image_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "argb"), ["image_id", "x", "y"], "left")
+    blend = lambda shift: F.floor((F.sum(F.coalesce(F.col("w") * channel(F.col("argb"), shift), F.lit(0))) + 512) / 1024)
+    mixed = found.groupBy("image_id", "_ox", "_oy").agg(*[blend(b).alias(f"_{b}") for b in (24, 16, 8, 0)])
+    alpha = F.when(F.col("_24") > 127, F.col("_24") - 256).otherwise(F.col("_24"))
+    mixed = mixed.select("image_id", F.col("_ox").alias("x"), F.col("_oy").alias("y"), (alpha * 16777216 + F.col("_16") * 65536 + F.col("_8") * 256 + F.col("_0")).cast("int").alias("argb"))
+    return mixed.unionByName(pixels.join(quads, "image_id", "left_anti").select("image_id", "x", "y", "argb"))
+
+
 def otsu(grays: DataFrame) -> DataFrame:
     """(image_id, t): the threshold of the greatest variance between the two classes, from each image's histogram."""
     hist = grays.groupBy("image_id", "gray").agg(F.count("*").alias("n"))

@@ -370,6 +370,12 @@ def pixels(spark, sf) -> DataFrame:
     return at.withColumn("argb", F.expr(argb))
 
 
+def quads_of(p: DataFrame) -> DataFrame:
+    """A quadrilateral inside each image but every sixth, which has none."""
+    n = p.select("image_id").distinct().where("image_id % 6 > 0")
+    return n.selectExpr("image_id", "image_id % 5 x1", "image_id % 3 y1", "39 - image_id % 4 x2", "image_id % 6 y2", "37 x3", "28 - image_id % 7 y3", "image_id % 8 x4", "29 y4")
+
+
 def _image(name: str, sql: str | None, f) -> None:
     query(sql, name)(lambda spark, sf: f(pixels(spark, sf)))
 
@@ -400,6 +406,14 @@ s AS (SELECT *, sum(n) OVER o AS n0, sum(n * gray) OVER o AS s0, sum(n) OVER e A
 v AS (SELECT image_id, gray, round(coalesce(n0::DOUBLE * (n1 - n0)::DOUBLE * pow(s0::DOUBLE / n0 - (s1 - s0)::DOUBLE / nullif(n1 - n0, 0), 2), 0), 6) AS v FROM s),
 t AS (SELECT image_id, gray AS t FROM v QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, gray) = 1)
 SELECT g.image_id, x, y, CASE WHEN g.gray > t THEN 255 ELSE 0 END AS v FROM {GRAY_SQL} g JOIN t ON g.image_id = t.image_id""", I.binarize_otsu)
+_image("img_desaturate", f"SELECT image_id, x, y, {_pack.format('v', 'v', 'v')} AS argb FROM (SELECT image_id, x, y, (213 * r + 715 * g + 72 * b + 500) // 1000 AS v FROM (SELECT *, {_channels} FROM {PIXELS_SQL}))", I.desaturate)
+_image("img_unwarp", f"""WITH p AS (SELECT * FROM {PIXELS_SQL}),
+q AS (SELECT DISTINCT image_id, (image_id % 5)::DOUBLE AS x1, (image_id % 3)::DOUBLE AS y1, (39 - image_id % 4)::DOUBLE AS x2, (image_id % 6)::DOUBLE AS y2, 37::DOUBLE AS x3, (28 - image_id % 7)::DOUBLE AS y3, (image_id % 8)::DOUBLE AS x4, 29::DOUBLE AS y4 FROM p WHERE image_id % 6 > 0),
+m AS (SELECT *, ((x1 - x2 + x3 - x4) * (y4 - y3) - (x4 - x3) * (y1 - y2 + y3 - y4)) / ((x2 - x3) * (y4 - y3) - (x4 - x3) * (y2 - y3)) AS g, ((x2 - x3) * (y1 - y2 + y3 - y4) - (x1 - x2 + x3 - x4) * (y2 - y3)) / ((x2 - x3) * (y4 - y3) - (x4 - x3) * (y2 - y3)) AS k FROM q),
+b AS (SELECT p.image_id, x, y, floor(((x2 - x1 + g * x2) * (x / 40::DOUBLE) + (x4 - x1 + k * x4) * (y / 30::DOUBLE) + x1) / (g * (x / 40::DOUBLE) + k * (y / 30::DOUBLE) + 1) * 32 + 0.5::DOUBLE)::BIGINT AS u, floor(((y2 - y1 + g * y2) * (x / 40::DOUBLE) + (y4 - y1 + k * y4) * (y / 30::DOUBLE) + y1) / (g * (x / 40::DOUBLE) + k * (y / 30::DOUBLE) + 1) * 32 + 0.5::DOUBLE)::BIGINT AS v FROM p JOIN m ON p.image_id = m.image_id),
+n AS (SELECT b.image_id, b.x, b.y, (CASE i WHEN 1 THEN u & 31 ELSE 32 - (u & 31) END) * (CASE j WHEN 1 THEN v & 31 ELSE 32 - (v & 31) END) AS w, argb FROM b, range(2) a(i), range(2) c(j) , p s WHERE s.image_id = b.image_id AND s.x = (b.u >> 5) + i AND s.y = (b.v >> 5) + j),
+t AS (SELECT b.image_id, b.x, b.y, (coalesce(sum(w * 255), 0) + 512) // 1024 AS a, (coalesce(sum(w * ((argb >> 16) & 255)), 0) + 512) // 1024 AS r, (coalesce(sum(w * ((argb >> 8) & 255)), 0) + 512) // 1024 AS g, (coalesce(sum(w * (argb & 255)), 0) + 512) // 1024 AS bl FROM b LEFT JOIN n ON b.image_id = n.image_id AND b.x = n.x AND b.y = n.y GROUP BY ALL)
+SELECT image_id, x, y, ((CASE WHEN a > 127 THEN a - 256 ELSE a END) * 16777216 + r * 65536 + g * 256 + bl)::INT AS argb FROM t UNION ALL SELECT image_id, x, y, argb FROM p WHERE image_id % 6 = 0""", lambda p: I.unwarp(p, quads_of(p)))
 _image("img_document", None, lambda p: I.document_pipeline(p, background=True, binarize=128))
 _image("img_rotate", f"SELECT image_id, (CASE image_id % 4 WHEN 1 THEN 29 - y WHEN 2 THEN 39 - x WHEN 3 THEN y ELSE x END)::INT AS x, (CASE image_id % 4 WHEN 1 THEN x WHEN 2 THEN 29 - y WHEN 3 THEN 39 - x ELSE y END)::INT AS y, argb FROM {PIXELS_SQL}", lambda p: I.rotate(p, F.col("image_id") % 4 * 90))
 
