@@ -17,7 +17,7 @@ def cases(runs: DataFrame) -> DataFrame:
     )
     actual = F.coalesce("last.actual", F.lit(""))
     zero = lambda x: F.when(F.col("success"), x).otherwise(0.0)
-    return rows.select("engine", "case_name", "success", F.coalesce("ms", F.lit(0)).alias("ms"), zero(char_accuracy(F.col("expected"), actual)).alias("char_accuracy"), zero(word_accuracy(F.col("expected"), actual)).alias("word_accuracy"))
+    return rows.select("engine", "case_name", "expected", actual.alias("actual"), "success", F.coalesce("ms", F.lit(0)).alias("ms"), zero(char_accuracy(F.col("expected"), actual)).alias("char_accuracy"), zero(word_accuracy(F.col("expected"), actual)).alias("word_accuracy"))
 
 
 def engines(case_rows: DataFrame) -> DataFrame:
@@ -47,6 +47,44 @@ def report(engine_rows: DataFrame) -> DataFrame:
     return engine_rows.select("engine", row.alias("line"))
 
 
+# Wording and frames of the text report.
+REPORT_HEAD = """╔════════════════════════════════════════════════════╗
+║          ОТЧЁТ СРАВНИТЕЛЬНОГО ТЕСТИРОВАНИЯ OCR    ║
+╚════════════════════════════════════════════════════╝
+
+┌────────────────────────────────────────────────────┐
+│                  СВОДНАЯ ТАБЛИЦА                    │
+├──────────────┬────────┬────────┬────────┬────────────┤
+│ Движок       │Точность│Точность│ Время  │  Успешность│
+│              │(символ)│(слово) │  (мс)  │            │
+├──────────────┼────────┼────────┼────────┼────────────┤"""
+REPORT_FOOT = "└──────────────┴────────┴────────┴────────┴────────────┘"
+ICONS = {"failed": "💥", "good": "✅", "fair": "⚠️", "poor": "❌"}
+
+
+def full_report(case_rows: DataFrame, engine_rows: DataFrame) -> DataFrame:
+    """(part, engine, case_name, line): in that order (nulls first) the whole text report. A row of part 3 is an engine's
+    heading or one of its cases, with what was expected and read where that is worth a look; without any success
+    there is no recommendation (part 4). Empty inputs leave the frame (parts 0 and 2)."""
+    none = F.lit(None).cast("string")
+    row = lambda part, engine, case, line: [F.lit(part).alias("part"), engine.alias("engine"), case.alias("case_name"), line.alias("line")]
+    one = case_rows.sparkSession.range(1)
+    accuracy = F.col("char_accuracy")
+    mark = F.element_at(F.create_map(*[F.lit(x) for pair in ICONS.items() for x in pair]), icon(F.col("success"), accuracy))
+    shown = F.format_string("  %s %s: %d%%", mark, F.col("case_name"), (accuracy * 100).cast("int"))
+    looked = F.format_string('\n     Ожидание: "%s"\n     Получено: "%s"', "expected", "actual")
+    shown = F.concat(shown, F.when(F.col("success") & (accuracy < 0.9), looked).otherwise(""))
+    parts = [
+        one.select(*row(0, none, none, F.lit(REPORT_HEAD))), report(engine_rows).select(*row(1, F.col("engine"), none, F.col("line"))), one.select(*row(2, none, none, F.lit(REPORT_FOOT))),
+        engine_rows.select(*row(3, F.col("engine"), none, F.format_string("\n═══ %s ═══", "engine"))), case_rows.select(*row(3, F.col("engine"), F.col("case_name"), shown)),
+        best(engine_rows).where("engine is not null").select(*row(4, F.col("engine"), none, F.format_string("\n🏆 Рекомендация: %s", "engine"))),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def any_ready(engines: DataFrame, key: str, ready: str = "ready") -> DataFrame:
     """(key, ready): whether any engine of a key is ready; null counts as not."""
     return engines.groupBy(key).agg(F.bool_or(F.coalesce(F.col(ready), F.lit(False))).alias(ready))

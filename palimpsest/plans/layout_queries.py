@@ -285,6 +285,11 @@ def aspect_fit(spark, sf):
 RUNS_SQL = """(SELECT event_type AS engine, (user_id % 6)::VARCHAR AS case_name, event_id AS run_no, (trunc(value * 20))::BIGINT AS run_ms, value < 180 AS success FROM events)"""
 
 
+def bench_runs(spark, sf) -> DataFrame:
+    actual = F.when(F.col("event_id") % 3 == 0, "hello wurld").otherwise("hello world")
+    return table(spark, sf, "events").select(F.col("event_type").alias("engine"), (F.col("user_id") % 6).cast("string").alias("case_name"), F.lit("hello world").alias("expected"), actual.alias("actual"), F.expr("cast(value * 20 as bigint)").alias("run_ms"), F.col("event_id").alias("run_no"), (F.col("value") < 180).alias("success"))
+
+
 @query(f"""
 WITH r AS (SELECT *, CASE WHEN run_no % 3 = 0 THEN 'hello wurld' ELSE 'hello world' END AS actual FROM {RUNS_SQL}),
 c AS (SELECT engine, case_name, bool_or(success) AS ok, floor(avg(run_ms) FILTER (success)) AS ms, max_by(actual, run_no) FILTER (success) AS actual FROM r GROUP BY ALL),
@@ -292,14 +297,28 @@ e AS (SELECT engine, coalesce(avg(1 - levenshtein('hello world', actual)::DOUBLE
 SELECT engine, round(char_accuracy, 9) AS char_accuracy, ms, round(success_rate, 9) AS success_rate, engine = (SELECT engine FROM e WHERE success_rate > 0 ORDER BY 0.6 * char_accuracy + 0.3 * (1 - ms / 5000) + 0.1 * success_rate DESC, engine LIMIT 1) AS best FROM e
 """)
 def bench_ranking(spark, sf):
-    actual = F.when(F.col("event_id") % 3 == 0, "hello wurld").otherwise("hello world")
-    runs = table(spark, sf, "events").select(F.col("event_type").alias("engine"), (F.col("user_id") % 6).cast("string").alias("case_name"), F.lit("hello world").alias("expected"), actual.alias("actual"), F.expr("cast(value * 20 as bigint)").alias("run_ms"), F.col("event_id").alias("run_no"), (F.col("value") < 180).alias("success"))
-    rows = ranking.engines(ranking.cases(runs))
+    rows = ranking.engines(ranking.cases(bench_runs(spark, sf)))
     best = ranking.best(rows).withColumn("best", F.lit(True))
     out = rows.join(F.broadcast(best), "engine", "left")  # one row
     return out.select("engine", F.round("char_accuracy", 9).alias("char_accuracy"), "ms", F.round("success_rate", 9).alias("success_rate"), F.coalesce("best", F.lit(False)).alias("best"))
 
 
+@query(f"""
+WITH r AS (SELECT *, CASE WHEN run_no % 3 = 0 THEN 'hello wurld' ELSE 'hello world' END AS actual FROM {RUNS_SQL}),
+c AS (SELECT engine, case_name, bool_or(success) AS ok, coalesce(floor(avg(run_ms) FILTER (success)), 0) AS ms, coalesce(max_by(actual, run_no) FILTER (success), '') AS actual FROM r GROUP BY ALL),
+a AS (SELECT *, CASE WHEN ok THEN 1 - levenshtein('hello world', actual)::DOUBLE / 11 ELSE 0 END AS ca, CASE WHEN ok THEN CASE WHEN actual = 'hello world' OR actual = 'hello wurld' THEN 1 ELSE 0 END ELSE 0 END AS wa FROM c),
+e AS (SELECT engine, coalesce(avg(ca) FILTER (ok), 0) AS ca, coalesce(avg(wa) FILTER (ok), 0) AS wa, floor(coalesce(avg(ms) FILTER (ok), 0))::BIGINT AS ms, avg(ok::INT) AS rate FROM a GROUP BY engine)
+SELECT 0 AS part, NULL::VARCHAR AS engine, NULL::VARCHAR AS case_name, '{ranking.REPORT_HEAD}' AS line UNION ALL SELECT 2, NULL, NULL, '{ranking.REPORT_FOOT}'
+UNION ALL SELECT 1, engine, NULL, printf('│ %-12s │ %5.1f%% │ %5.1f%% │ %5dms │   %3d%%      │', left(engine, 12), ca * 100, wa * 100, ms, trunc(rate * 100)::INT) FROM e
+UNION ALL SELECT 3, engine, NULL, chr(10) || '═══ ' || engine || ' ═══' FROM e
+UNION ALL SELECT 3, engine, case_name, '  ' || CASE WHEN NOT ok THEN '💥' WHEN ca >= 0.9 THEN '✅' WHEN ca >= 0.7 THEN '⚠️' ELSE '❌' END || ' ' || case_name || ': ' || trunc(ca * 100)::INT || '%' || CASE WHEN ok AND ca < 0.9 THEN chr(10) || '     Ожидание: "hello world"' || chr(10) || '     Получено: "' || actual || '"' ELSE '' END FROM a
+UNION ALL (SELECT 4, engine, NULL, chr(10) || '🏆 Рекомендация: ' || engine FROM e WHERE rate > 0 ORDER BY 0.6 * ca + 0.3 * (1 - ms / 5000) + 0.1 * rate DESC, engine LIMIT 1)
+""")
+def bench_report(spark, sf):
+    cases = ranking.cases(bench_runs(spark, sf))
+    return ranking.full_report(cases, ranking.engines(cases))
+
+
 FOLD_SQL = """
 WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f(user_id, n, event_id, last, kept) AS (SELECT user_id, n, event_id, t, true FROM e WHERE n = 1

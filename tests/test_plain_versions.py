@@ -6,6 +6,7 @@ import re
 import numpy as np
 
 from palimpsest.functions.patterns import DETECTORS
+from palimpsest.operators import ranking
 from palimpsest.plans import layout_queries, text_queries  # noqa: F401  (they register their queries)
 from palimpsest.plans.registry import QUERIES
 
@@ -95,3 +96,15 @@ def test_img_document(spark):
         want = np.where(np.trunc(0.299 * v + 0.587 * v + 0.114 * v) > 128, -1, -16777216)
         mine = got[got.image_id == k].pivot(index="y", columns="x", values="argb").to_numpy()
         assert (mine == want).all()
+
+
+def test_full_report(spark):
+    rows = [("b", "one", "abcd", "abcd", 10, 1, True), ("b", "two", "abcdefghij", "abcdefgxyz", 20, 1, True), ("a", "one", "abcd", "", 10, 1, False)]
+    cases = ranking.cases(spark.createDataFrame(rows, "engine string, case_name string, expected string, actual string, run_ms long, run_no long, success boolean"))
+    lines = [r.line for r in ranking.full_report(cases, ranking.engines(cases)).orderBy("part", "engine", "case_name").collect()]
+    assert lines[1:] == [
+        "│ a            │   0.0% │   0.0% │     0ms │     0%      │", "│ b            │  85.0% │  50.0% │    15ms │   100%      │", ranking.REPORT_FOOT,
+        "\n═══ a ═══", "  💥 one: 0%", "\n═══ b ═══", "  ✅ one: 100%", '  ⚠️ two: 70%\n     Ожидание: "abcdefghij"\n     Получено: "abcdefgxyz"', "\n🏆 Рекомендация: b",
+    ]
+    none = cases.limit(0)
+    assert [r.part for r in ranking.full_report(none, ranking.engines(none)).orderBy("part").collect()] == [0, 2]
