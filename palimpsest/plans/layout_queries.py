@@ -156,20 +156,11 @@ def pages(orders: DataFrame) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.expr("array(1L, 2L)")).alias("page_no"), F.lit(595.0).alias("page_width"), F.expr("cast(800 + o_custkey % 50 as double)").alias("page_height"), F.lit(1654.0).alias("bitmap_width"), F.lit(2339.0).alias("bitmap_height"))
 
 
-@query(f"""
-WITH p AS (SELECT o_orderkey AS doc_id, unnest(range(1, 3)) AS page_no, 595.0::DOUBLE AS pw, (800 + o_custkey % 50)::DOUBLE AS ph FROM orders WHERE o_orderkey % 10 = 0)
-SELECT p.doc_id, page_no, trunc(ml * (1654 / pw))::INT AS "left", trunc(mt * (2339 / ph))::INT AS top, trunc(mr * (1654 / pw))::INT AS "right", trunc(mb * (2339 / ph))::INT AS bottom FROM p JOIN {MASK_SQL} m ON p.doc_id = m.doc_id
-""")
-def redact_pages(spark, sf):
-    return R.scaled_mask(pages(table(spark, sf, "orders").where("o_orderkey % 10 = 0")), masks(spark, sf))
-
-
 @query(f"""
 WITH p AS (SELECT o_orderkey AS doc_id, unnest(range(1, 3)) AS page_no, 595.0::DOUBLE AS pw, (800 + o_custkey % 50)::DOUBLE AS ph FROM orders)
 SELECT p.doc_id, page_no, trunc(ml * (1654 / pw))::INT AS "left", trunc(mt * (2339 / ph))::INT AS top, trunc(mr * (1654 / pw))::INT AS "right", trunc(mb * (2339 / ph))::INT AS bottom FROM p JOIN {MASK_SQL} m ON p.doc_id = m.doc_id
 """)
-def redact_pages_all(spark, sf):
-    """redact_pages over all orders."""
+def redact_pages(spark, sf):
     return R.scaled_mask(pages(table(spark, sf, "orders")), masks(spark, sf))
 
 
@@ -247,21 +238,11 @@ def quad_area(spark, sf):
 
 
 @query(f"""
-WITH p AS (SELECT id, list_sort([{{'s': x1 + y1, 'k': 1, 'x': x1, 'y': y1}}, {{'s': x2 + y2, 'k': 2, 'x': x2, 'y': y2}}, {{'s': x3 + y3, 'k': 3, 'x': x3, 'y': y3}}, {{'s': x4 + y4, 'k': 4, 'x': x4, 'y': y4}}]) AS c FROM {QUAD_SQL} WHERE id % 5 <> 0)
+WITH p AS (SELECT id, list_sort([{{'s': x1 + y1, 'k': 1, 'x': x1, 'y': y1}}, {{'s': x2 + y2, 'k': 2, 'x': x2, 'y': y2}}, {{'s': x3 + y3, 'k': 3, 'x': x3, 'y': y3}}, {{'s': x4 + y4, 'k': 4, 'x': x4, 'y': y4}}]) AS c FROM {QUAD_SQL})
 SELECT id, c[1].x AS x1, CASE WHEN c[2].x <= c[3].x THEN c[2].x ELSE c[3].x END AS x2, c[4].x AS x3, CASE WHEN c[2].x <= c[3].x THEN c[3].x ELSE c[2].x END AS x4, CASE WHEN c[2].x <= c[3].x THEN c[2].y ELSE c[3].y END AS y2 FROM p
 """)
 def quad_corners(spark, sf):
-    return corners(quads(spark, sf).where("id % 5 <> 0"))
-
-
-@query()
-def quad_corners_all(spark, sf):
-    """quad_corners with the quads of equal corners too: ties keep the order of the input."""
-    return corners(quads(spark, sf))
-
-
-def corners(q: DataFrame) -> DataFrame:
-    c = q.select("id", G.order_corners(F.col("q")).alias("c"))
+    c = quads(spark, sf).select("id", G.order_corners(F.col("q")).alias("c"))
     return c.select("id", *[F.col("c")[k]["x"].alias(f"x{k + 1}") for k in range(4)], F.col("c")[1]["y"].alias("y2"))
 
 
@@ -343,32 +324,24 @@ def debounce(spark, sf):
     return S.debounce(table(spark, sf, "events"), "user_id", "ts", "event_id", HOUR).select("event_id", "user_id")
 
 
-@query("SELECT event_id, props FROM events b WHERE event_id % 2 = 1 AND props NOT IN (SELECT props FROM events WHERE event_id % 2 = 0 AND event_id < 100)")
-def batch_dedup(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "props")
-    return S.batch_dedup(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0 and event_id < 100"), "props")
-
+KEYED_SQL = "(SELECT event_id, user_id || '/' || event_type || '/' || ts::DATE AS value FROM events)"
+HALVES_SQL = f"SELECT event_id, value FROM {KEYED_SQL} WHERE event_id % 2 = 1 AND value NOT IN (SELECT value FROM {KEYED_SQL} WHERE event_id % 2 = 0)"
 
-@query("SELECT event_id, props FROM events WHERE event_id % 2 = 1 AND props NOT IN (SELECT props FROM events WHERE event_id % 2 = 0 AND event_id < 100) UNION ALL SELECT event_id, props FROM events WHERE event_id % 2 = 0 AND event_id < 100")
-def scan_batch_mode(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "props")
-    return S.scan_mode(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0 and event_id < 100"), "BATCH", "props", "event_id")
 
-
-HALVES_SQL = "SELECT event_id, props FROM events WHERE event_id % 2 = 1 AND props NOT IN (SELECT props FROM events WHERE event_id % 2 = 0)"
+def keyed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Every event is in one of two inputs: the odd ids are the batch, the even ones are accepted. A user's events of a type and day are one value."""
+    e = table(spark, sf, "events").select("event_id", F.concat_ws("/", "user_id", "event_type", F.to_date("ts")).alias("value"))
+    return e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0")
 
 
 @query(HALVES_SQL)
-def batch_dedup_all(spark, sf):
-    """batch_dedup with every event in one of the two inputs: the even ids accepted, the odd ones the batch."""
-    e = table(spark, sf, "events").select("event_id", "props")
-    return S.batch_dedup(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), "props")
+def batch_dedup(spark, sf):
+    return S.batch_dedup(*keyed(spark, sf), "value")
 
 
-@query(HALVES_SQL + " UNION ALL SELECT event_id, props FROM events WHERE event_id % 2 = 0")
-def scan_batch_mode_all(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "props")
-    return S.scan_mode(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), "BATCH", "props", "event_id")
+@query(f"{HALVES_SQL} UNION ALL SELECT event_id, value FROM {KEYED_SQL} WHERE event_id % 2 = 0")
+def scan_batch_mode(spark, sf):
+    return S.scan_mode(*keyed(spark, sf), "BATCH", "value", "event_id")
 
 
 @query("SELECT event_id, props FROM events ORDER BY event_id LIMIT 1")

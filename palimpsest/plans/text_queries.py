@@ -194,14 +194,24 @@ def _tokens(spark, sf):
     return d.select("doc_id", F.posexplode("p").alias("ordinal", "text")).withColumn("confidence", (F.col("doc_id") * 7 + F.col("ordinal")) % 101)
 
 
+# Applied twice, a replacement that consumes both digits does what one that only looks at them does.
+_once = "regexp_replace({}, '([0-9]){}([0-9])', '\\1{}\\2', 'g')"
+_ONCE = _once.format(_once.format("t", "l", "1"), "O", "0")
+_TWICE = _once.format(_once.format(_once.format(_once.format("t", "l", "1"), "l", "1"), "O", "0"), "O", "0")
+
+
 @query(rf"""
-SELECT doc_id, count(*) AS n_words, sum(length(c)) AS n_chars FROM (
-  SELECT doc_id, regexp_replace(regexp_replace(w, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '^[|\[\]{{}}~`^\\]+|[|\[\]{{}}~`^\\]+$', '', 'g') AS c FROM ({TOKENS})
+SELECT doc_id, count(*) AS n_words, md5(string_agg(c, ' ' ORDER BY no)) AS words FROM (SELECT doc_id, no, {_TWICE} AS c FROM (
+  SELECT doc_id, no, regexp_replace(regexp_replace(w, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '^[|\[\]{{}}~`^\\]+|[|\[\]{{}}~`^\\]+$', '', 'g') AS t
+  FROM (SELECT doc_id, no, CASE WHEN no % 9 = 0 THEN '[' || no || 'l' || doc_id || 'O1l1' ELSE w END AS w FROM ({TOKENS}))
   WHERE (doc_id * 7 + no - 1) % 101 >= 15 AND regexp_replace(w, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') <> '' AND NOT regexp_matches(regexp_replace(w, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '^[^\p{{L}}\p{{Nd}}]$')
-    AND NOT regexp_matches(w, '[|\[\]{{}}~`^\\]{{2,}}')) WHERE c <> '' GROUP BY doc_id
+    AND NOT regexp_matches(w, '[|\[\]{{}}~`^\\]{{2,}}'))) WHERE c <> '' GROUP BY doc_id
 """)
 def word_filters(spark, sf):
-    return L.filter_words(_tokens(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(F.char_length("text")).alias("n_chars"))
+    """Every ninth word is one with a bracket and digits to mend."""
+    at = F.col("ordinal") + 1
+    words = _tokens(spark, sf).withColumn("text", F.when(at % 9 == 0, F.concat(F.lit("["), at, F.lit("l"), "doc_id", F.lit("O1l1"))).otherwise(F.col("text")))
+    return L.filter_words(words).groupBy("doc_id").agg(F.count("*").alias("n_words"), F.md5(L.ordered_text("ordinal", "text", " ").cast("binary")).alias("words"))
 
 
 @query(r"""
@@ -318,12 +328,6 @@ def engine_any_ready(spark, sf):
     return ranking.any_ready(table(spark, sf, "supplier").select("s_nationkey", (F.col("s_suppkey") % 4 == 1).alias("ready")), "s_nationkey")
 
 
-# Applied twice, a replacement that consumes both digits does what one that only looks at them does.
-_once = "regexp_replace({}, '([0-9]){}([0-9])', '\\1{}\\2', 'g')"
-_ONCE = _once.format(_once.format("t", "l", "1"), "O", "0")
-_TWICE = _once.format(_once.format(_once.format(_once.format("t", "l", "1"), "l", "1"), "O", "0"), "O", "0")
-
-
 @query(f"SELECT c_custkey, {_ONCE} AS consuming, {_TWICE} AS everywhere FROM (SELECT c_custkey, translate((c_custkey * 7919 + 131313)::VARCHAR, '38', 'lO') AS t FROM customer)")
 def digit_fixes(spark, sf):
     t = F.translate((F.col("c_custkey").cast("long") * 7919 + 131313).cast("string"), "38", "lO")
@@ -337,19 +341,15 @@ def pii_contains(spark, sf):
 
 
 # --- accuracy
+# levenshtein counts bytes there, so each other character of an item becomes a control character of one byte first.
 @query(r"""
-WITH b AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS e FROM benchmark), c AS (SELECT item_id, trim(lower(e)) AS e, trim(lower(replace(translate(e, 'aeo', 'ecu'), 'th', 't'))) AS a FROM b)
+WITH b AS (SELECT item_id, trim(lower(text)) AS e, trim(lower(replace(translate(text, 'aeo', 'ecu'), 'th', 't'))) AS a FROM benchmark),
+m AS (SELECT *, array_to_string(list_distinct(regexp_extract_all(e || a, '[^\x{0}-\x{7F}]')), '') AS wide FROM b),
+c AS (SELECT item_id, translate(e, wide, left(array_to_string(list_transform(range(14, 32), lambda k: chr(k::INT)), ''), length(wide)::INT)) AS e,
+  translate(a, wide, left(array_to_string(list_transform(range(14, 32), lambda k: chr(k::INT)), ''), length(wide)::INT)) AS a FROM m)
 SELECT item_id, round(CASE WHEN e = '' THEN CASE WHEN a = '' THEN 1 ELSE 0 END ELSE greatest(0, 1 - levenshtein(e, a)::DOUBLE / greatest(length(e), length(a))) END, 9) AS accuracy FROM c
 """)
 def char_accuracy(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("e"))
-    actual = F.replace(F.translate("e", "aeo", "ecu"), F.lit("th"), F.lit("t"))
-    return b.select("item_id", F.round(X.char_accuracy(F.col("e"), actual), 9).alias("accuracy"))
-
-
-@query()
-def char_accuracy_all(spark, sf):
-    """char_accuracy of the whole texts; without SQL, whose levenshtein counts bytes."""
     b = table(spark, sf, "benchmark")
     actual = F.replace(F.translate("text", "aeo", "ecu"), F.lit("th"), F.lit("t"))
     return b.select("item_id", F.round(X.char_accuracy(F.col("text"), actual), 9).alias("accuracy"))

@@ -15,7 +15,7 @@ def test_corners_with_ties(spark):
         return c[0][0], small[0], c[3][0], large[0], small[1]
 
     ids = [r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()]
-    got = {r.id: (r.x1, r.x2, r.x3, r.x4, r.y2) for r in QUERIES["quad_corners_all"](spark, SF).collect()}
+    got = {r.id: (r.x1, r.x2, r.x3, r.x4, r.y2) for r in QUERIES["quad_corners"](spark, SF).collect()}
     assert got == {i: plain(i) for i in ids} and any(i % 5 == 0 for i in ids)
 
 
@@ -30,7 +30,7 @@ def test_char_accuracy_of_whole_texts(spark):
 
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text}
     odd = sorted((i for i, t in texts.items() if not t.isascii()), key=lambda i: len(texts[i]))[:20]
-    got = {r.item_id: r.accuracy for r in QUERIES["char_accuracy_all"](spark, SF).collect()}
+    got = {r.item_id: r.accuracy for r in QUERIES["char_accuracy"](spark, SF).collect()}
     for i in odd:
         e = texts[i].lower().strip()
         a = texts[i].translate(str.maketrans("aeo", "ecu")).replace("th", "t").lower().strip()
