@@ -122,8 +122,13 @@ def error_of(n_blocks: Column, text: Column) -> Column:
     return F.when((n_blocks == 0) | F.coalesce(is_blank(text), F.lit(True)), "NoTextFound")
 
 
-def first_hit(boxes: DataFrame, points: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, point_id, ordinal, text) of the first box, by ordinal, that holds each point."""
-    inside = points.join(boxes, doc).where(G.contains(F.col("box"), F.col("x"), F.col("y")))
+def first_hit(boxes: DataFrame, points: DataFrame, doc: str = "doc_id", cell: float = 256.0) -> DataFrame:
+    """(doc, point_id, ordinal, text) of the first box, by ordinal, that holds each point. Points meet the boxes of their
+    grid cell and those that are too wide for the grid."""
+    from .redact import cells
+
+    own = boxes.select(doc, "ordinal", "text", "box", F.explode(cells(F.col("box"), cell, 2, 1)).alias("_cell")).where("_cell.kind <> 2")
+    mark = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), F.floor(x / cell).cast("long").alias("cx"), F.floor(y / cell).cast("long").alias("cy"))
+    asked = points.select(doc, "point_id", "x", "y", F.explode(F.array(mark(0, F.col("x"), F.col("y")), mark(1, F.lit(0.0), F.lit(0.0)))).alias("_cell"))
+    inside = asked.join(own, [doc, "_cell"]).where(G.contains(F.col("box"), F.col("x"), F.col("y")))
     return inside.groupBy(doc, "point_id").agg(F.min(F.struct("ordinal", "text")).alias("hit")).select(doc, "point_id", "hit.*")
-

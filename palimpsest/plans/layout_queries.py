@@ -324,6 +324,18 @@ def debounce(spark, sf):
     return S.debounce(table(spark, sf, "events"), "user_id", "ts", "event_id", HOUR).select("event_id", "user_id")
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, trunc(value)::BIGINT * 60000000 AS busy, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'error'),
+f(user_id, n, event_id, free, kept) AS (SELECT user_id, n, event_id, t + busy, true FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN e.t >= f.free THEN e.t + e.busy ELSE f.free END, e.t >= f.free FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT event_id, user_id FROM f WHERE kept
+""")
+def busy_gate(spark, sf):
+    """An event keeps its user busy for as many minutes as its value; errors stand for what comes while paused."""
+    busy = F.expr("cast(value as bigint) * 60000000")
+    return S.busy_gate(table(spark, sf, "events"), "user_id", "ts", "event_id", busy, F.col("event_type") == "error").select("event_id", "user_id")
+
+
 KEYED_SQL = "(SELECT event_id, user_id || '/' || event_type || '/' || ts::DATE AS value FROM events)"
 HALVES_SQL = f"SELECT event_id, value FROM {KEYED_SQL} WHERE event_id % 2 = 1 AND value NOT IN (SELECT value FROM {KEYED_SQL} WHERE event_id % 2 = 0)"
 

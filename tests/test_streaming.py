@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.streaming import rates
 
@@ -55,3 +56,25 @@ def test_accumulate(spark, tmp_path):
     stream = spark.readStream.schema("k string, i int, ts timestamp, n int").option("maxFilesPerTrigger", 1).parquet(str(source))
     rates.accumulate(stream, table, "k", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r.k for r in spark.read.parquet(table).collect()) == ["a", "a", "b"]
+
+
+def test_busy_gate(spark):
+    e = events(spark, [("a", 0), ("a", 99), ("a", 100), ("a", 150), ("a", 400), ("b", 5)])
+    assert ids(rates.busy_gate(e, "k", "ts", "i", (F.col("i") + 1) * 100_000)) == [0, 2, 4, 5]
+    assert ids(rates.busy_gate(e, "k", "ts", "i", F.lit(0), F.col("k") == "a")) == [5]
+    assert ids(rates.busy_gate(e, "k", "ts", "i", F.lit(None))) == [0, 1, 2, 3, 4, 5]
+
+
+def test_stream_debounce(spark, tmp_path):
+    source = tmp_path / "in"
+    rows = [("a", 0), ("a", 100), ("a", 449), ("b", 50), ("a", 799), ("a", 1148), ("b", 399), ("a", 300_000), ("c", 300_000)]
+    for n, part in enumerate([rows[:4], rows[4:7], rows[7:]]):
+        events(spark, part).coalesce(1).write.parquet(str(source / f"n={n}"))
+    stream = spark.readStream.schema("k string, i int, ts timestamp, n int").option("maxFilesPerTrigger", 1).parquet(str(source))
+    out = rates.stream_debounce(stream.withWatermark("ts", "10 seconds"), "k", "ts", 350_000)
+    done = out.writeStream.format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    done.awaitTermination(120)
+    got = {(r.k, round((r.ts - START) / dt.timedelta(milliseconds=1))) for r in spark.table("bursts").collect()}
+    whole = {(r.k, round((r.ts - START) / dt.timedelta(milliseconds=1))) for r in rates.debounce(events(spark, rows), "k", "ts", "i", 350_000).collect()}
+    # The bursts at the end are still open.
+    assert got == {x for x in whole if x[1] < 300_000} == {("a", 449), ("a", 1148), ("b", 399)}
