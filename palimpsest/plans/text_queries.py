@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import barcode as B
+from ..functions import settings
 from ..functions import text as X
 from ..functions.patterns import DETECTORS, LOOKALIKE_CYRILLIC, LOOKALIKE_LATIN
 from ..operators import corrections as C
@@ -317,6 +318,70 @@ def barcode_allowed_formats(spark, sf):
     return kept("some", "EAN_13", "CODE_128").unionByName(kept("all"))
 
 
+_cases = lambda of, names, default: f"CASE {of} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE {default} END"
+_pick = lambda names: f"list_value({', '.join(repr(n) for n in names)})[p_partkey % {len(names)} + 1]"
+_FORMATS, _VALUES = [*B.FORMAT_NAMES, "MAXICODE"], [*B.VALUE_TYPES, "TYPE_ISBN"]
+
+
+@query(f"SELECT p_partkey, {_cases(_pick(_FORMATS), B.FORMAT_NAMES, repr(B.UNKNOWN_FORMAT))} AS format_name, {_cases(_pick(_VALUES), B.VALUE_TYPES, repr('UNKNOWN'))} AS kind FROM part")
+def barcode_codes(spark, sf):
+    """Names of all formats, and content types of all value types, with one of each that is not known."""
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", B.format_name(pick(_FORMATS)).alias("format_name"), B.content_type_of_value(pick(_VALUES)).alias("kind"))
+
+
+@query("""
+SELECT o_orderkey, min(l_partkey % 97)::DOUBLE AS "left", min(l_suppkey % 89)::DOUBLE AS top, max(l_partkey % 97)::DOUBLE AS "right", max(l_suppkey % 89)::DOUBLE AS bottom
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey HAVING count(*) >= 2
+""")
+def barcode_points(spark, sf):
+    """The box around the points of a code; lines of an order stand for them."""
+    points = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.expr("struct(cast(l_partkey % 97 as double) AS x, cast(l_suppkey % 89 as double) AS y)")).alias("points"))
+    at = points.select(F.col("l_orderkey").alias("o_orderkey"), B.points_box(F.col("points")).alias("box")).where("box is not null")
+    return at.select("o_orderkey", "box.*")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN value / 200 >= 0.9 THEN 'good' WHEN value / 200 >= 0.7 THEN 'fair' ELSE 'poor' END AS icon FROM events")
+def accuracy_icon(spark, sf):
+    return table(spark, sf, "events").select("event_id", ranking.icon(F.col("event_type") != "error", F.col("value") / 200).alias("icon"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, string_split(replace(replace(replace(text, ', ', ',' || chr(10)), ' a', chr(10) || '- a'), ' t', chr(10) || 't'), chr(10)) AS p FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(p))) AS no, p FROM d), m AS (SELECT doc_id, no, p[no] AS line, p[no + 1] AS following FROM l)
+SELECT doc_id, no, regexp_replace(line, '^[\s\p{Z}]+', '') <> '' AND regexp_replace(following, '^[\s\p{Z}]+', '') <> '' AND NOT regexp_matches(line, '[.!?:;]$') AND NOT regexp_matches(following, '^(  |\t)')
+  AND NOT regexp_matches(regexp_replace(following, '^[\s\p{Z}]+', ''), '^(\d+[.)>]\s.*|[-–—•*]\s.*|[а-яa-z][.)>]\s.*)$') AND (regexp_matches(following, '^\p{Ll}') OR regexp_matches(line, '(-|,| и| или| а| но)$')) AS merges FROM m
+""")
+def post_merges(spark, sf):
+    """Whether each line goes on in the next; commas and two first letters break the lines."""
+    broken = F.replace(F.replace(F.replace("text", F.lit(", "), F.lit(",\n")), F.lit(" a"), F.lit("\n- a")), F.lit(" t"), F.lit("\nt"))
+    rows = table(spark, sf, "documents").select("doc_id", F.split(broken, "\n", -1).alias("p")).select("doc_id", "p", F.posexplode("p").alias("i", "line"))
+    rows = rows.withColumn("following", F.get("p", F.col("i") + 1)).where("following is not null")
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("no"), X.merges(F.col("line"), F.col("following")).alias("merges"))
+
+
+@query("""
+SELECT c_custkey, CASE upper(n) WHEN 'MLKIT' THEN 'mlkit' WHEN 'TESSERACT' THEN 'tesseract' ELSE 'hybrid' END AS by_name, CASE c_custkey % 3 WHEN 0 THEN 'mlkit' WHEN 1 THEN 'tesseract' ELSE 'hybrid' END AS by_type
+FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'mlKit' WHEN 1 THEN 'TESSERACT' WHEN 2 THEN 'Hybrid' ELSE c_mktsegment END AS n FROM customer)
+""")
+def engine_dispatch(spark, sf):
+    name = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'mlKit' WHEN 1 THEN 'TESSERACT' WHEN 2 THEN 'Hybrid' ELSE c_mktsegment END")
+    kind = F.expr("CASE c_custkey % 3 WHEN 0 THEN 'ML_KIT' WHEN 1 THEN 'TESSERACT' ELSE 'HYBRID' END")
+    return table(spark, sf, "customer").select("c_custkey", settings.engine_of_name(name).alias("by_name"), settings.engine_of_type(kind).alias("by_type"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 10 THEN 0 ELSE CASE s_suppkey % 11 WHEN 6 THEN 90 WHEN 3 THEN 180 WHEN 8 THEN 270 ELSE 0 END END::INT AS degrees FROM supplier")
+def exif_rotation(spark, sf):
+    """Rotation of images whose heads are written from keys, in both byte orders; one in eleven has no directory."""
+    from ..sources.image_files import rotation
+
+    tag = "lpad(hex(s_suppkey % 11), 2, '0')"
+    big = f"concat('4D4D002A00000008', '0001', '0112', '0003', '00000001', '00', {tag}, '0000', '00000000')"
+    little = f"concat('49492A0008000000', '0100', '1201', '0300', '01000000', {tag}, '00', '0000', '00000000')"
+    head = F.expr(f"unhex(concat('FFD8', CASE WHEN s_suppkey % 11 = 10 THEN 'FFDA' ELSE concat('FFE1', '0022', '457869660000', CASE WHEN s_suppkey % 2 = 0 THEN {big} ELSE {little} END, 'FFDA') END))")
+    return table(spark, sf, "supplier").select("s_suppkey", rotation(head).alias("degrees"))
+
+
 @query("SELECT doc_id, left(text, 50) || CASE WHEN length(text) > 50 THEN '…' ELSE '' END AS preview FROM documents")
 def text_preview(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))
