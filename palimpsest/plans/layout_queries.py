@@ -17,7 +17,7 @@ from ..operators import pii, ranking
 from ..operators import redact as R
 from ..streaming import rates as S
 from .registry import query, table
-from .text_queries import CODES_SQL, codes
+from .text_queries import CODES_SQL, codes, sql_all
 
 # --- word boxes: one for each lineitem
 BOXES_SQL = """(SELECT l_orderkey AS doc_id, l_linenumber * 1000000000::BIGINT + l_partkey * 10000 + l_suppkey AS ordinal, l_returnflag || l_suppkey AS text, (l_partkey % 101)::INT AS confidence,
@@ -89,10 +89,20 @@ def tree_text_and_confidence(spark, sf):
     return t.select("doc_id", F.round(L.tree_confidence(F.col("blocks")), 9).alias("confidence"), L.full_text(F.col("blocks")).alias("full_text"), L.tree_counts(F.col("blocks")).alias("n")).select("doc_id", "confidence", "full_text", "n.*")
 
 
-@query()
+@query(f"""
+WITH b AS (SELECT *, text[1] AS flag FROM {BOXES_SQL}),
+k AS (SELECT doc_id, flag, string_agg(text, ' ' ORDER BY ordinal) AS block_text, avg(confidence / 100::DOUBLE) AS c, min_by(struct_pack(lft, top, rgt, bot), ordinal) AS box FROM b GROUP BY ALL),
+t AS (SELECT doc_id, string_agg(block_text, chr(10) || chr(10) ORDER BY flag) AS text FROM k GROUP BY doc_id)
+SELECT doc_id, t.text, NULL::VARCHAR AS error, (row_number() OVER (PARTITION BY doc_id ORDER BY flag))::INT AS block_no, block_text, trunc(box.lft)::INT AS "left", trunc(box.bot)::INT AS bottom, 1 AS n_lines, block_text AS line_text, trunc(box.top)::INT AS line_top, round(c, 9) AS confidence, 0 AS indent FROM k JOIN t USING (doc_id)
+""")
 def ui_projection(spark, sf):
-    t = trees(spark, sf).withColumn("full_text", L.full_text(F.col("blocks")))
-    return L.project(t).select("doc_id", "text", F.to_json("blocks").alias("blocks"), L.error_of(F.size("blocks"), F.col("text")).alias("error"))
+    shown = L.project(trees(spark, sf).withColumn("full_text", L.full_text(F.col("blocks"))))
+    rows = shown.select("doc_id", "text", L.error_of(F.size("blocks"), F.col("text")).alias("error"), F.posexplode("blocks").alias("at", "b"))
+    line = F.col("b.lines")[0]
+    return rows.select(
+        "doc_id", "text", "error", (F.col("at") + 1).alias("block_no"), F.col("b.text").alias("block_text"), F.col("b.box.left").alias("left"), F.col("b.box.bottom").alias("bottom"), F.size("b.lines").alias("n_lines"),
+        line["text"].alias("line_text"), line["box"]["top"].alias("line_top"), F.round(line["confidence"], 9).alias("confidence"), line["indent"].alias("indent"),
+    )
 
 
 @query(f"SELECT doc_id, min(lft) AS \"left\", min(top) AS top, max(rgt) AS \"right\", max(bot) AS bottom FROM {BOXES_SQL} GROUP BY doc_id")
@@ -145,7 +155,11 @@ def redact_text(spark, sf):
     return L.reading_order(R.visible(boxes(spark, sf), masks(spark, sf)))
 
 
-@query()
+@query(f"""
+WITH f AS (SELECT doc_id, match FROM ({sql_all('documents', 'doc_id', 'text')})), n AS (SELECT doc_id, count(*)::INT AS n, list_distinct(list(match)) AS found FROM f GROUP BY doc_id),
+o AS (SELECT doc_id, n, list_transform(list_reverse_sort(list_transform(found, lambda m: {{'size': length(m), 'match': m}})), lambda m: m.match) AS found FROM n)
+SELECT d.doc_id, coalesce(n, 0) AS n_found, sha256(list_reduce(coalesce(found, []), lambda t, m: replace(t, m, repeat('█', length(m)::INT)), text)) AS sha256 FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
+""")
 def redact_documents(spark, sf):
     """The flow from text to redacted text: detect, mask what was found, and keep counts."""
     d = table(spark, sf, "documents")

@@ -420,7 +420,16 @@ def char_accuracy(spark, sf):
     return b.select("item_id", F.round(X.char_accuracy(F.col("text"), actual), 9).alias("accuracy"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE b AS (SELECT item_id, lower(text) AS e, lower(replace(text, 'th', 't')) AS a FROM benchmark),
+m AS (SELECT *, array_to_string(list_distinct(regexp_extract_all(e || a, '[^\x{0}-\x{7F}]')), '') AS wide FROM b),
+n AS (SELECT item_id, e, a, wide, left(array_to_string(list_transform(range(14, 32), lambda k: chr(k::INT)), ''), length(wide)::INT) AS narrow FROM m),
+w AS (SELECT item_id, list_filter(regexp_split_to_array(translate(e, wide, narrow), '\s+'), lambda x: x <> '') AS e, list_filter(regexp_split_to_array(translate(a, wide, narrow), '\s+'), lambda x: x <> '') AS a FROM n),
+f(item_id, i, free, hits) AS (SELECT item_id, 0, a, 0 FROM w UNION ALL
+  SELECT item_id, i + 1, CASE WHEN pos > 0 THEN free[:pos - 1] || free[pos + 1:] ELSE free END, hits + CASE WHEN pos > 0 THEN 1 ELSE 0 END
+  FROM (SELECT f.item_id, i, free, hits, coalesce(list_position(list_transform(free, lambda x: levenshtein(x, w.e[i + 1]) <= 1), true), 0) AS pos FROM f JOIN w ON f.item_id = w.item_id WHERE i < len(w.e)))
+SELECT f.item_id, round(CASE WHEN len(w.e) = 0 THEN CASE WHEN len(w.a) = 0 THEN 1 ELSE 0 END ELSE hits / len(w.e) END, 9) AS accuracy FROM f JOIN w ON f.item_id = w.item_id WHERE i = len(w.e)
+""")
 def word_accuracy(spark, sf):
     b = table(spark, sf, "benchmark")
     return b.select("item_id", F.round(X.word_accuracy(F.col("text"), F.replace("text", F.lit("th"), F.lit("t"))), 9).alias("accuracy"))
