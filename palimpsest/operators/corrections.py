@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -152,16 +154,31 @@ def punctuation(text: str, log: list[Change], russian: bool) -> str:
     return _edit(r"([^\W\d_]) - ([^\W\d_])", text, lambda m: f"{m[1]} — {m[2]}", PUNCTUATION, 0.7, log)
 
 
-def correct(text: str, document_type: str | None = None, language: str | None = None) -> tuple[str, list[Change]]:
+@dataclass(frozen=True)
+class Step:
+    """A step of the chain: run(text, log, language) gives the new text and logs what it has changed; not for the kinds left out."""
+
+    name: str
+    run: Callable[[str, list[Change], str | None], str]
+    left_out: tuple[str, ...] = ()
+
+
+CHAIN = (
+    Step("characters", lambda t, log, _: literal_substitutions(digits_and_letters(mixed_alphabets(t, log), log), log)),
+    Step("lines", lambda t, log, _: restore_lines(t, log), ("TABLE", "RECEIPT")),
+    Step("space", lambda t, log, _: space(t, log)),
+    Step("punctuation", lambda t, log, language: punctuation(t, log, language == "ru")),
+)
+
+
+def correct(text: str, document_type: str | None = None, language: str | None = None, chain: tuple[Step, ...] = CHAIN) -> tuple[str, list[Change]]:
     """The chain, and its changes; those of a step count only if the step changed the text."""
-    steps = [(lambda t, log: literal_substitutions(digits_and_letters(mixed_alphabets(t, log), log), log))]
-    if document_type not in ("TABLE", "RECEIPT"):
-        steps.append(restore_lines)
-    steps += [space, lambda t, log: punctuation(t, log, language == "ru")]
     changes: list[Change] = []
-    for step in steps:
+    for step in chain:
+        if document_type in step.left_out:
+            continue
         log: list[Change] = []
-        new = step(text, log)
+        new = step.run(text, log, language)
         if new != text:
             changes += log
         text = new
@@ -178,17 +195,16 @@ def restore_line_breaks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else restore_lines(t, []))
 
 
-@F.pandas_udf(CORRECTED)
-def _corrected(texts: pd.Series, kinds: pd.Series, languages: pd.Series) -> pd.DataFrame:
-    rows = [(None, []) if t is None else correct(t, k, x) for t, k, x in zip(texts, kinds, languages, strict=True)]
-    names = ("processor", "original", "replacement", "position", "confidence")
-    return pd.DataFrame({"text": [t for t, _ in rows], "changes": [[dict(zip(names, c, strict=True)) for c in log] for _, log in rows]})
+def corrected(text: Column, document_type: Column | None = None, language: Column | None = None, chain: tuple[Step, ...] = CHAIN) -> Column:
+    """struct(text, changes) by the steps of the chain, in order; others can be put in or left away."""
 
+    def run(texts: pd.Series, kinds: pd.Series, languages: pd.Series) -> pd.DataFrame:
+        rows = [(None, []) if t is None else correct(t, k, x, chain) for t, k, x in zip(texts, kinds, languages, strict=True)]
+        names = ("processor", "original", "replacement", "position", "confidence")
+        return pd.DataFrame({"text": [t for t, _ in rows], "changes": [[dict(zip(names, c, strict=True)) for c in log] for _, log in rows]})
 
-def corrected(text: Column, document_type: Column | None = None, language: Column | None = None) -> Column:
-    """struct(text, changes)."""
     none = F.lit(None).cast("string")
-    return _corrected(text, none if document_type is None else document_type, none if language is None else language)
+    return F.pandas_udf(run, CORRECTED)(text, none if document_type is None else document_type, none if language is None else language)
 
 
 def statistics(df: DataFrame, text: str, result: str) -> DataFrame:

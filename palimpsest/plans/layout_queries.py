@@ -432,7 +432,15 @@ b AS (SELECT p.image_id, x, y, floor(((x2 - x1 + g * x2) * (x / 40::DOUBLE) + (x
 n AS (SELECT b.image_id, b.x, b.y, (CASE i WHEN 1 THEN u & 31 ELSE 32 - (u & 31) END) * (CASE j WHEN 1 THEN v & 31 ELSE 32 - (v & 31) END) AS w, argb FROM b, range(2) a(i), range(2) c(j) , p s WHERE s.image_id = b.image_id AND s.x = (b.u >> 5) + i AND s.y = (b.v >> 5) + j),
 t AS (SELECT b.image_id, b.x, b.y, (coalesce(sum(w * 255), 0) + 512) // 1024 AS a, (coalesce(sum(w * ((argb >> 16) & 255)), 0) + 512) // 1024 AS r, (coalesce(sum(w * ((argb >> 8) & 255)), 0) + 512) // 1024 AS g, (coalesce(sum(w * (argb & 255)), 0) + 512) // 1024 AS bl FROM b LEFT JOIN n ON b.image_id = n.image_id AND b.x = n.x AND b.y = n.y GROUP BY ALL)
 SELECT image_id, x, y, ((CASE WHEN a > 127 THEN a - 256 ELSE a END) * 16777216 + r * 65536 + g * 256 + bl)::INT AS argb FROM t UNION ALL SELECT image_id, x, y, argb FROM p WHERE image_id % 6 = 0""", lambda p: I.unwarp(p, quads_of(p)))
-_image("img_document", None, lambda p: I.document_pipeline(p, background=True, binarize=128))
+_mean = "floor(sum({0}) OVER w / count(*) OVER w)::INT AS {1}"
+_image("img_document", f"""
+WITH h AS (SELECT *, {_mean.format('gray', 'h')} FROM {GRAY_SQL} WINDOW w AS (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING)),
+b AS (SELECT *, {_mean.format('h', 'blur')} FROM h WINDOW w AS (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING)),
+c AS (SELECT image_id, x, y, {_clamp.format(f'round(greatest(0, least(255, 255 - greatest(0, least(255, 255 + blur - gray)) + gray)) * 1.3::DOUBLE + {(1 - 1.3) / 2 * 255!r}::DOUBLE)')} AS v FROM b),
+m AS (SELECT c.image_id, c.x, c.y, CASE WHEN count(*) < 9 THEN c.v ELSE list_sort(list(d.v))[5] END AS v FROM c JOIN c d ON c.image_id = d.image_id AND abs(c.x - d.x) <= 1 AND abs(c.y - d.y) <= 1 GROUP BY c.image_id, c.x, c.y, c.v),
+a AS (SELECT *, {_around.format('v')} FROM m WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
+s AS (SELECT image_id, x, y, CASE WHEN vw IS NULL OR ve IS NULL OR vn IS NULL OR vs IS NULL THEN v ELSE greatest(0, least(255, 5 * v - vw - ve - vn - vs)) END AS v FROM a)
+SELECT image_id, x, y, CASE WHEN trunc(0.299::DOUBLE * v + 0.587::DOUBLE * v + 0.114::DOUBLE * v) > 128 THEN -1 ELSE -16777216 END AS argb FROM s""", lambda p: I.document_pipeline(p, background=True, binarize=128))
 _image("img_rotate", f"SELECT image_id, (CASE image_id % 4 WHEN 1 THEN 29 - y WHEN 2 THEN 39 - x WHEN 3 THEN y ELSE x END)::INT AS x, (CASE image_id % 4 WHEN 1 THEN x WHEN 2 THEN 29 - y WHEN 3 THEN 39 - x ELSE y END)::INT AS y, argb FROM {PIXELS_SQL}", lambda p: I.rotate(p, F.col("image_id") % 4 * 90))
 
 

@@ -164,3 +164,11 @@ def test_ranking(spark):
     assert got == {"a": (0.8, 150, 0.5), "b": (1.0, 9000, 1.0), "z": (0.0, 0, 0.0)}
     assert ranking.best(engines).first().engine == "a"
     assert "a" in ranking.report(engines).where("engine = 'a'").first().line
+
+
+def test_chain_of_own_steps(spark):
+    shout = C.Step("shout", lambda t, log, _: log.append(("Shout", t, t.upper(), 0, 1.0)) or t.upper(), ("RECEIPT",))
+    df = spark.createDataFrame([("a  b", None), ("a  b", "RECEIPT"), (None, "TABLE")], "text string, kind string")
+    rows = df.select(C.corrected(F.col("text"), F.col("kind"), chain=(*C.CHAIN[2:3], shout)).alias("r")).collect()
+    assert [(r.r.text, [c.processor for c in r.r.changes]) for r in rows] == [("A B", [C.SPACE, "Shout"]), ("a b", [C.SPACE]), (None, [])]
+    assert C.correct("a  b", chain=()) == ("a  b", [])
