@@ -13,7 +13,8 @@ component. Only groups that still hold several components are looked at again, i
 outside the group's largest component are counted against the tile's members through an index of all their shingles,
 which gives the exact similarity of every pair at once and so needs no estimate. A tile returns one link for each two
 components that it joins, not the pairs. So every pair that shares a band and could join two components is tested
-exactly, and what a group of copies makes is linear in its size.
+exactly, and what a group of copies makes is linear in its size. Groups with over a thousandth of all members (at most a
+thousand groups) are joined with what is known of them by broadcast, the others by shuffle.
 
 Cases: null or empty texts have the empty set and are linked with nothing. A null id can't be linked: its row is
 returned with a null component and kept. Rows that repeat an id are one vertex, whatever their texts: what is linked
@@ -34,6 +35,7 @@ from pyspark.sql import types as T
 from . import vec
 from .components import components
 from .store import Store
+from .substring import joined_by
 
 BUCKETS, MANTISSA, EMPTY = 512, 10, 0xFFFF
 #: A pair at 80 % shares a band with probability 1 - (1 - 0.8**8)**64, all but 8 in a million; one at 40 % with 4 in 100.
@@ -261,15 +263,15 @@ def tile_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def tiles(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def tiles(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, store: Store) -> DataFrame:
     """(a, b): links that join components within groups. members: lead, entry, component, of groups with several components."""
     sized = members.join(sizes, "entry")
     parts = sized.groupBy("lead", "component").agg(F.count("*").alias("times"), F.sum("n_shingles").alias("held"))
     largest = F.max_by(F.struct("component", "held"), F.struct("times", "component"))
-    groups = parts.groupBy("lead").agg(largest.alias("main"), F.sum("held").alias("held"))
+    groups = parts.groupBy("lead").agg(largest.alias("main"), F.sum("held").alias("held"), F.sum("times").alias("times"))
     blocks = lambda n: F.greatest(F.ceil(n / TILE), F.lit(1)).cast("int")
-    groups = groups.select("lead", F.col("main.component").alias("main"), blocks(F.col("held")).alias("n"), blocks(F.col("held") - F.col("main.held")).alias("m"))
-    at = members.join(groups, "lead")
+    groups = groups.select("lead", F.col("main.component").alias("main"), blocks(F.col("held")).alias("n"), blocks(F.col("held") - F.col("main.held")).alias("m"), "times")
+    at = joined_by(members, store.write(groups, "groups"), ["lead"], members.count()).drop("times")
     own = lambda n, salt: F.pmod(F.xxhash64("entry", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # Each member is in one block, for every batch of probes; each probe is in one batch, for every block.
@@ -342,10 +344,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
     def in_tiles():
         at = now()
-        mixed = at.groupBy("lead").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("lead")
-        at = store.write(at.join(mixed, "lead", "left_semi"), "mixed")
+        mixed = at.groupBy("lead").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("times")).where("c0 <> c1").select("lead", "times")
+        at = store.write(joined_by(at, store.write(mixed, "mixed-leads"), ["lead"], members.count()).drop("times"), "mixed")
         shingles = store.write(full_sets(near.join(at.select("entry").distinct(), "entry", "left_semi"), shingle), "shingles")
-        return tiles(at, few.select("entry", "n_shingles"), shingles, percent)
+        return tiles(at, few.select("entry", "n_shingles"), shingles, percent, store)
 
     for step, proposed in enumerate((first_leader, other_leaders, in_tiles)):
         pairs = store.write(proposed(), f"pairs-{step}")
