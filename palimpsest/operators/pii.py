@@ -66,7 +66,7 @@ def has_pii(text: Column) -> Column:
 
 
 def mask(text: Column, categories=tuple(DETECTORS), block: str = "█") -> Column:
-    """Every match of any detector becomes a run of blocks of its length, longer matches first."""
-    longest_first = lambda a, b: F.char_length(b) - F.char_length(a)
+    """Every match of any detector becomes a run of blocks of its length, longer matches first, of equal ones the greater string: where matches overlap, the first takes the place."""
+    longest_first = lambda a, b: F.when(F.char_length(a) != F.char_length(b), F.char_length(b) - F.char_length(a)).when(a > b, -1).when(a < b, 1).otherwise(0)
     matches = F.array_sort(F.array_distinct(F.concat(*[found(text, c) for c in categories])), longest_first)
     return F.aggregate(matches, text, lambda t, m: F.replace(t, m, F.repeat(F.lit(block), F.char_length(m))))
